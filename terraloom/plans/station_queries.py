@@ -8,7 +8,7 @@ from terraloom.operators import climatology as cl
 from terraloom.operators import hazards as hz
 from terraloom.operators import windows as wn
 from terraloom.plans.registry import query
-from terraloom.plans.shape import i, r, s
+from terraloom.plans.shape import i, r, s, shared
 from terraloom.sources import tables as tb
 
 DOY = "least(dayofyear(obs_date), 365)"
@@ -36,7 +36,7 @@ graded AS (SELECT *, CASE WHEN spi IS NULL THEN NULL WHEN spi <= -2 THEN 'Extrem
 
 
 def clim_of(spark, sf, values):
-    obs = tb.daily(spark, sf)
+    obs = shared(tb.daily(spark, sf))
     return obs, cl.doy_climatology(obs, values)
 
 
@@ -153,7 +153,7 @@ curve AS (SELECT station, last_year, dos, avg(cum) FILTER (WHERE n >= 100) AS no
       FROM curve WHERE (dos - 1) % 3 = 0""",
 )
 def season_curve(spark, sf):
-    c = hz.monsoon_curve(tb.daily(spark, sf)).filter((F.col("dos") - 1) % 3 == 0)
+    c = hz.monsoon_curve(shared(tb.daily(spark, sf))).filter((F.col("dos") - 1) % 3 == 0)
     return c.select("station", i("last_year", "year"), i("dos"), r("normal"), r("current"))
 
 
@@ -168,7 +168,7 @@ def season_curve(spark, sf):
     FROM tot""",
 )
 def season_onset(spark, sf):
-    m = hz.monsoon_summary(tb.daily(spark, sf))
+    m = hz.monsoon_summary(shared(tb.daily(spark, sf)))
     return m.select("station", i("last_year", "year"), r("seasonal_normal"), r("received"), r("progress_pct"), s("onset_date"))
 
 
@@ -183,7 +183,7 @@ fit AS (SELECT station, regr_slope(annual_mean, yr) AS slope, regr_intercept(ann
       round(slope * 10, 4) AS slope_per_decade, round(slope * (y1 - y0), 4) AS total_change FROM annual JOIN fit USING (station)""",
 )
 def warming_trend(spark, sf):
-    w = hz.warming_trend(tb.daily(spark, sf))
+    w = hz.warming_trend(shared(tb.daily(spark, sf)))
     return w.select("station", i("year"), r("annual_mean"), r("trend"), r("slope_per_decade"), r("total_change"))
 
 
@@ -197,7 +197,7 @@ def warming_trend(spark, sf):
     FROM ann JOIN mid USING (station) GROUP BY station""",
 )
 def leak_free_trend(spark, sf):
-    obs = tb.daily(spark, sf)
+    obs = shared(tb.daily(spark, sf))
     split = obs.groupBy("station").agg((F.max(F.year("obs_date")) - 3).alias("split_year"))
     return cl.leak_free_trend(obs, split).select("station", r("slope", 5), r("mid_year"))
 
@@ -213,7 +213,7 @@ latest AS (SELECT station, coalesce(max(yr) FILTER (WHERE n >= 330), max(yr)) AS
       QUALIFY row_number() OVER (PARTITION BY station ORDER BY yr DESC) <= 12""",
 )
 def extreme_days(spark, sf):
-    h = hz.heavy_days(tb.daily(spark, sf))
+    h = hz.heavy_days(shared(tb.daily(spark, sf)))
     thr = h.groupBy("station").agg(F.max("threshold").alias("threshold"))
     return hz.days_per_year(h, "heavy").join(thr, "station").select("station", i("year"), i("days"), r("threshold"))
 
@@ -225,7 +225,7 @@ def extreme_days(spark, sf):
       FROM heavy JOIN latest USING (station) GROUP BY station, ly""",
 )
 def extreme_summary(spark, sf):
-    per_year = hz.days_per_year(hz.heavy_days(tb.daily(spark, sf)), "heavy", years=None)
+    per_year = hz.days_per_year(hz.heavy_days(shared(tb.daily(spark, sf))), "heavy", years=None)
     return hz.year_summary(per_year).select("station", i("latest_year"), i("latest_days"), r("baseline_days"))
 
 
@@ -369,7 +369,7 @@ def _splice_clim(name, src):
       SELECT obs_date, tmean, precip, 0 AS is_tail FROM order_daily UNION ALL SELECT * FROM tail)""",
 )
 def live_tail_splice(spark, sf):
-    out = hz.splice_tail(tb.order_daily(spark, sf), tb.ship_daily(spark, sf))
+    out = hz.splice_tail(shared(tb.order_daily(spark, sf)), shared(tb.ship_daily(spark, sf)))
     return out.select(s("obs_date"), r("tmean"), r("precip"), F.col("is_tail").cast("int").alias("is_tail"))
 
 
@@ -381,7 +381,7 @@ def live_tail_splice(spark, sf):
     FROM cal, y GROUP BY station""",
 )
 def season_anchor(spark, sf):
-    obs = cl.with_calendar(tb.daily(spark, sf))
+    obs = cl.with_calendar(shared(tb.daily(spark, sf)))
     # "today" of the check: 60 days before the newest day of all, joined on a constant key
     today = obs.groupBy(F.lit(1).alias("k")).agg(F.date_sub(F.max("obs_date"), 60).alias("today"))
     j = obs.withColumn("k", F.lit(1)).join(today, "k")
