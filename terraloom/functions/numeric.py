@@ -27,9 +27,10 @@ def sentinel_to_null(x: Column, floor: float = -900.0) -> Column:
 
 
 def flag_pct(mask: Column, digits: int | None = None) -> Column:
-    """Share of rows (in %) on which ``mask`` holds; an aggregate."""
-    p = F.avg(F.when(mask, F.lit(100.0)).otherwise(F.lit(0.0)))
-    return p if digits is None else F.round(p, digits)
+    """Share of rows (in %) on which ``mask`` holds; an aggregate. With ``digits`` it is
+    rounded half-even, as published percentages are."""
+    p = F.lit(100.0) * F.count_if(mask) / F.count(F.lit(1))
+    return p if digits is None else F.bround(p, digits)
 
 
 def skill_pct(rmse: Column, base: Column) -> Column:

@@ -1,0 +1,48 @@
+"""Exact quantiles of groups that may be too large for one task."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+BINS = 1024  # bins per group; a bound on the rows of a group's histogram
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Linear-interpolation quantiles per key, exact, without gathering a group.
+
+    Equal values are counted together first. A histogram of at most ``BINS`` bins per key
+    tells in which bin each wanted rank lies; only the rows of those bins are ordered.
+    ``probs`` maps output names to probabilities.
+    """
+    v = F.col(value)
+    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    width = F.col("_hi") - F.col("_lo")
+    bin_of = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * BINS), F.lit(BINS - 1))
+    binned = counts.join(span, keys).withColumn("_b", bin_of)
+    hist = binned.groupBy(*keys, "_b", "_total").agg(F.sum("_n").alias("_bn"))
+    before = F.sum("_bn").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_bn")
+    hist = hist.withColumn("_before", before)
+    # the two ranks (from 0) around each quantile
+    ranks = []
+    for name, p in probs.items():
+        pos = (F.col("_total") - 1) * F.lit(float(p))
+        for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            ranks.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), k.alias("k"), (pos - F.floor(pos)).alias("frac")))
+    wanted = hist.withColumn("_r", F.explode(F.array(*ranks))).filter(
+        (F.col("_r.k") >= F.col("_before")) & (F.col("_r.k") < F.col("_before") + F.col("_bn"))
+    ).select(*keys, "_b", "_before", "_r.*")
+    inside = binned.select(*keys, "_b", "_v", "_n").join(wanted.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
+    inside = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
+    hit = wanted.drop("_before").join(inside.drop("_before"), [*keys, "_b"]).filter(
+        (F.col("k") >= F.col("_from")) & (F.col("k") < F.col("_upto"))
+    )
+    out = []
+    for name in probs:
+        lo = F.max(F.when((F.col("q") == name) & (F.col("side") == "lo"), F.col("_v")))
+        hi = F.max(F.when((F.col("q") == name) & (F.col("side") == "hi"), F.col("_v")))
+        frac = F.max(F.when(F.col("q") == name, F.col("frac")))
+        out.append((lo + (hi - lo) * frac).alias(name))
+    return hit.groupBy(*keys).agg(*out)

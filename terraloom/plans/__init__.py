@@ -1,3 +1,3 @@
 """Named queries. Importing this package fills the registry."""
 
-from terraloom.plans import grid_queries, station_queries  # noqa: F401
+from terraloom.plans import grid_queries, scene_queries, station_queries  # noqa: F401

@@ -288,7 +288,7 @@ def blue_fusion(spark, sf):
 
 
 FUSED = f"""WITH {tb.GRID_ORDERS}, {tb.GRID_SHIP}, {tb.SHIP_DAILY}, {GCLIM},
-pairs AS (SELECT o.obs_date, o.lat, o.lon, o.value AS a, s.value AS b, d.tmean AS truth, strftime(obs_date, '%Y-%m') AS wid
+pairs AS (SELECT o.obs_date, o.lat, o.lon, o.value AS a, s.value AS b, d.tmean AS truth, strftime(obs_date, '%Y') AS wid
   FROM grid_orders o JOIN grid_ship s USING (obs_date, lat, lon) LEFT JOIN ship_daily d USING (obs_date)),
 stn AS (SELECT * FROM pairs WHERE lat = 32 AND lon = 73 AND truth IS NOT NULL),
 cand AS (SELECT wid, count(*) AS n, avg(a - truth) AS ba, avg(b - truth) AS bb, var_pop(a - truth) AS va, var_pop(b - truth) AS vb, covar_pop(a - truth, b - truth) AS c FROM stn GROUP BY wid HAVING count(*) >= 5),
@@ -302,8 +302,8 @@ fused AS (SELECT lat, lon, wa * fa + (1 - wa) * (fb - (bb - ba)) AS value, abs(f
 
 
 def fused_of(spark, sf):
-    """Live window = newest calendar month of the pair; older months calibrate."""
-    p = pairs_of(spark, sf).withColumns({"region": F.lit("r"), "window_id": F.date_format("obs_date", "yyyy-MM")})
+    """Live window = newest calendar year of the pair; older years calibrate."""
+    p = pairs_of(spark, sf).withColumns({"region": F.lit("r"), "window_id": F.date_format("obs_date", "yyyy")})
     keys = ["region"]
     windows = p.groupBy("region", "window_id").agg(F.max("window_id").alias("window_end"))
     station = p.filter((F.col("lat") == 32.0) & (F.col("lon") == 73.0))
