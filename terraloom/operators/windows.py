@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.calendar import harmonics
+from terraloom.operators.ranking import group_rank
 
 LAGS = [1, 2, 3, 7, 14, 30]  # fixed values: lags of the forecaster's features
 
@@ -146,11 +147,11 @@ def ordered_share(df: DataFrame, keys: list[str], order: str, share: float = 0.7
     return df.withColumn("in_first", F.row_number().over(w) <= F.floor(n * share))
 
 
-def half_split(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """``half`` = 'older' for the first floor(n/2) rows, else 'newer'."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    return df.withColumn("half", F.when(F.row_number().over(w) <= F.floor(n / 2), "older").otherwise("newer"))
+def half_split(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
+    """``half`` = 'older' for the first floor(n/2) rows of a key, else 'newer'."""
+    d = group_rank(df, keys, order, tie, "_rank", "_n")
+    older = F.col("_rank") <= F.floor(F.col("_n") / 2)
+    return d.withColumn("half", F.when(older, "older").otherwise("newer")).drop("_rank", "_n")
 
 
 def every_nth(df: DataFrame, keys: list[str], order: str, step: int = 2) -> DataFrame:
