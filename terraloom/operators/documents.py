@@ -67,7 +67,8 @@ def confidence_trend(docs: DataFrame, keys: list[str], order: str) -> DataFrame:
 def latest(changes: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:
     """Current documents of an append-only change log: the newest entry per key, deletions
     (``deleted``) dropped."""
-    return wn.latest_by_key(changes, [key], [F.col(order)]).filter(~F.coalesce("deleted", F.lit(False)))
+    out = wn.latest_by_key(changes, [key], [F.col(order)])
+    return out.filter(~F.coalesce("deleted", F.lit(False))) if "deleted" in changes.columns else out
 
 
 def document_key(doc_id: Column, email: Column) -> Column:

@@ -46,12 +46,12 @@ def scores_by_lead(frame: DataFrame, methods: list[str], keys: list[str], obs: s
     return sets.withColumn("skill_pct", skill_pct(F.col("rmse"), base))
 
 
-def best_method(scored: DataFrame, keys: list[str]) -> DataFrame:
-    """Method with the least overall RMSE."""
+def best_method(scored: DataFrame, keys: list[str], methods: list[str]) -> DataFrame:
+    """Method with the least overall RMSE (compared to 9 digits); the first listed on a tie."""
     overall = scored.filter(F.col("lead").isNull())
-    return overall.groupBy(*keys).agg(F.min(F.struct("rmse", "method")).alias("_b")).select(
-        *keys, F.col("_b.method").alias("best"), F.col("_b.rmse").alias("rmse")
-    )
+    place = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method"))
+    pick = F.min(F.struct(F.round("rmse", 9).alias("_r"), place.alias("_p"), "method", "rmse")).alias("_b")
+    return overall.groupBy(*keys).agg(pick).select(*keys, F.col("_b.method").alias("best"), F.col("_b.rmse").alias("rmse"))
 
 
 def confusion(rows: DataFrame, truth: str, pred: str, keys: list[str] | None = None) -> DataFrame:

@@ -109,10 +109,10 @@ def rmse_by_lead(spark, sf):
 
 @query(
     "best_method",
-    f"""{BASE}, {frame_sql('tmean')} SELECT DISTINCT ON (station) station, method AS best, round(rmse, 4) AS rmse FROM sc WHERE lead IS NULL ORDER BY station, rmse""",
+    f"""{BASE}, {frame_sql('tmean')} SELECT DISTINCT ON (station) station, method AS best, round(rmse, 4) AS rmse FROM sc WHERE lead IS NULL ORDER BY station, round(rmse, 9), list_position(['clim', 'clim_trend', 'persist', 'naive', 'damped', 'blend'], method)""",
 )
 def best_method(spark, sf):
-    return sk.best_method(scored(spark, sf, "tmean")[4], ["station"]).select("station", "best", r("rmse"))
+    return sk.best_method(scored(spark, sf, "tmean")[4], ["station"], METHODS).select("station", "best", r("rmse"))
 
 
 def live_sql(v: str, tag: str) -> str:
@@ -121,7 +121,7 @@ def live_sql(v: str, tag: str) -> str:
     off = "o.off"
     return f"""lv{tag} AS (SELECT o.station, l.range AS lead, CAST(o.obs_date + CAST(l.range AS INT) AS DATE) AS td, o.anom5, o.anom14, o.anom1, {off} AS off FROM og o CROSS JOIN range(1, 15) l WHERE o.age = 0),
 lm{tag} AS (SELECT lv{tag}.*, c.{v}_mean AS clim, c.{v}_mean + off AS ct, greatest({lo}, c.{v}_mean + off + anom5 * pow(0.7, lead)) AS persist, greatest({lo}, c.{v}_mean + off + anom1 * pow(0.6, lead)) AS naive,
-   greatest({lo}, c.{v}_mean + off + phi * anom14) AS damped FROM lv{tag} JOIN clim c ON c.station = lv{tag}.station AND c.doy = least(dayofyear(td), 365) JOIN ph ON ph.station = lv{tag}.station AND ph.lead = lv{tag}.lead),
+   greatest({lo}, c.{v}_mean + off + phi * anom14) AS damped FROM lv{tag} JOIN (SELECT station AS pst, lead AS pld, phi FROM ph) ON pst = lv{tag}.station AND pld = lv{tag}.lead JOIN clim c ON c.station = lv{tag}.station AND c.doy = least(dayofyear(td), 365)),
 fv{tag} AS (SELECT lm{tag}.station, lead, td, clim, greatest({lo}, ct + w0 * (persist - ct) + w1 * (naive - ct) + w2 * (damped - ct)) AS value, rmse
   FROM lm{tag} JOIN wt USING (station, lead) JOIN (SELECT station, lead, rmse FROM sc WHERE method = 'blend' AND lead IS NOT NULL) USING (station, lead))"""
 
