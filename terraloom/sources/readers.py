@@ -243,11 +243,9 @@ def parse_weather(payloads: DataFrame, stations: DataFrame, codes: DataFrame, ke
     another number of locations fails. ``stations``: pos, name, lat, lon (a short list).
     """
     p = payloads.select(*keys, F.from_json("payload", sch.WEATHER_PAYLOAD).alias("_p"))
-    n = stations.agg(F.count(F.lit(1)).alias("_n"), F.lit(1).alias("_one"))
-    p = p.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
-    checked = F.when(F.size("_p") == F.col("_n"), F.col("_p")).otherwise(
-        F.raise_error(F.format_string("payload has %d locations for %d stations", F.size("_p"), F.col("_n"))).cast(sch.WEATHER_PAYLOAD)
-    )
+    n = F.lit(stations.count())
+    wrong = F.format_string("payload has %d locations for %d stations", F.size("_p"), n)
+    checked = F.when(F.size("_p") == n, F.col("_p")).otherwise(F.raise_error(wrong).cast(sch.WEATHER_PAYLOAD))
     locs = p.select(*keys, F.posexplode(checked).alias("pos", "loc")).join(F.broadcast(stations), "pos")
     first = lambda c: F.try_element_at(F.col(f"loc.daily.{c}"), F.lit(1))
     cur = lambda c: F.col(f"loc.current.{c}")
