@@ -73,3 +73,17 @@ def live_state(temp_anomaly: DataFrame, rain_anomaly: DataFrame, keys: list[str]
     return j.withColumn("soil_moisture", clip(0.40 + F.col("rain_anomaly_pct") / 320.0, 0.08, 0.9)).withColumn(
         "drought_class", drought_from_anomaly(F.col("rain_anomaly_pct"))
     )
+
+
+def as_nested(field: DataFrame, keys: list[str], value: str = "value", digits: int = 2) -> DataFrame:
+    """Field as axes and a nested array (rows by latitude, NULL for missing cells), for
+    output. Meant for thinned fields: a row of the array holds one latitude."""
+    a = gr.axes(field, keys)
+    cells = field.groupBy(*keys, "lat").agg(F.map_from_entries(F.collect_list(F.struct("lon", F.round(value, digits)))).alias("_m"))
+    rows = cells.join(a, keys).select(
+        *keys, "lat", "lats", "lons", F.transform("lons", lambda x: F.try_element_at(F.col("_m"), x)).alias("_row")
+    )
+    return rows.groupBy(*keys, "lats", "lons").agg(F.sort_array(F.collect_list(F.struct("lat", "_row"))).alias("_r")).select(
+        *keys, F.transform("lats", lambda x: F.round(x, 3)).alias("lats"), F.transform("lons", lambda x: F.round(x, 3)).alias("lons"),
+        F.col("_r._row").alias("values"),
+    )

@@ -282,3 +282,28 @@ def splice_tail(hist: DataFrame, feed: DataFrame, min_overlap: int = 365) -> Dat
     spliced = tail.select("station", "obs_date", *temps, F.greatest(F.col("precip") * ratio, F.lit(0.0)).alias("precip"), F.lit(True).alias("is_tail"))
     head = hist.select("station", "obs_date", "tmean", "tmax", "tmin", "precip", F.lit(False).alias("is_tail"))
     return head.unionByName(spliced)
+
+
+def summary(obs: DataFrame, clim: DataFrame) -> DataFrame:
+    """Drought, heat and season status of each station in one row."""
+    s = spi_latest(spi(cl.monthly_totals(obs))).filter("age = 0").select("station", "spi", F.col("class").alias("spi_class"))
+    heat = heat_status(heat_days(obs, clim)).select("station", "as_of", F.col("active").alias("heat_active"), "recent_tmax_anomaly")
+    season = monsoon_summary(obs).select("station", "onset_date", "progress_pct")
+    return heat.join(s, "station", "left").join(season, "station", "left")
+
+
+def analytics(obs: DataFrame, clim: DataFrame) -> DataFrame:
+    """Long-term trend, rain extremes, cold status and records of each station in one row."""
+    trend = cl.linear_trend(cl.annual_mean(obs)).select("station", (F.col("slope") * 10).alias("slope_per_decade"))
+    heavy = year_summary(days_per_year(heavy_days(obs), "heavy", years=None))
+    heavy = heavy.select("station", "latest_year", F.col("latest_days").alias("heavy_days"), "baseline_days")
+    frost = year_summary(days_per_year(frost_days(obs), "frost", years=None)).select("station", F.col("latest_days").alias("frost_days"))
+    cold = cold_status(obs, clim).select("station", "recent_tmin_anomaly")
+    rec = records(obs).select("station", "record_days", "hottest", "coldest", "wettest")
+    return rec.join(trend, "station", "left").join(heavy, "station", "left").join(frost, "station", "left").join(cold, "station", "left")
+
+
+def record_span(obs: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """First and last day and number of days of each record."""
+    keys = keys or ["station"]
+    return obs.groupBy(*keys).agg(F.min("obs_date").alias("start"), F.max("obs_date").alias("end"), F.count(F.lit(1)).alias("days"))

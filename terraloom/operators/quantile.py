@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from terraloom.session import shared
+
 BINS = 1024  # bins per group; a bound on the rows of a group's histogram
 
 
@@ -16,7 +18,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     ``probs`` maps output names to probabilities.
     """
     v = F.col(value)
-    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    # read three times below; at most one row per distinct value
+    counts = shared(df.filter(v.isNotNull() & ~F.isnan(v)).groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     span = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
     width = F.col("_hi") - F.col("_lo")
     bin_of = F.least(F.floor(F.coalesce(F.try_divide(F.col("_v") - F.col("_lo"), width), F.lit(0.0)) * BINS), F.lit(BINS - 1))

@@ -134,3 +134,14 @@ def promote(scored: DataFrame) -> DataFrame:
     return scored.groupBy("task").agg(
         F.max(F.when(F.col("role") == "challenger", pair)).alias("_c"), F.max(F.when(F.col("role") == "champion", pair)).alias("_h")
     ).select("task", F.coalesce(F.col("_c") > F.col("_h"), F.col("_c").isNotNull()).alias("promote"))
+
+
+def model_cards(scored: DataFrame, keys: list[str], model: str = "blend", base: str = "clim") -> DataFrame:
+    """One card per key: RMSE and skill of the operational model, RMSE of the baseline and
+    the skill of every member (a short map)."""
+    o = scored.filter(F.col("lead").isNull())
+    pick = lambda m, c: F.max(F.when(F.col("method") == m, F.col(c)))
+    return o.groupBy(*keys).agg(
+        pick(model, "rmse").alias("rmse"), pick(model, "skill_pct").alias("skill_pct"), pick(base, "rmse").alias("baseline_rmse"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "skill_pct")))).alias("members"),
+    )

@@ -115,6 +115,16 @@ def best_method(spark, sf):
     return sk.best_method(scored(spark, sf, "tmean")[4], ["station"], METHODS).select("station", "best", r("rmse"))
 
 
+@query(
+    "model_cards",
+    f"""{BASE}, {frame_sql('tmean')} SELECT b.station, round(b.rmse, 4) AS rmse, round((1 - b.rmse / c.rmse) * 100, 4) AS skill_pct, round(c.rmse, 4) AS baseline_rmse, round((1 - p.rmse / c.rmse) * 100, 4) AS persist_skill
+      FROM sc b JOIN sc c USING (station) JOIN sc p USING (station) WHERE b.method = 'blend' AND c.method = 'clim' AND p.method = 'persist' AND b.lead IS NULL AND c.lead IS NULL AND p.lead IS NULL""",
+)
+def model_cards(spark, sf):
+    m = sk.model_cards(scored(spark, sf, "tmean")[4], ["station"])
+    return m.select("station", r("rmse"), r("skill_pct"), r("baseline_rmse"), r(F.element_at("members", "persist"), 4, "persist_skill"))
+
+
 def live_sql(v: str, tag: str) -> str:
     """The newest issue date with the blend; CTE names end with ``tag``."""
     lo = "-1e300" if v == "tmean" else "0.0"

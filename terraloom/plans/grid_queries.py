@@ -169,6 +169,21 @@ def field_thinned(spark, sf):
     return an.field_view(g, meta, K, max_cells=7).select("source", r("lat"), r("lon"), r("value"), "units")
 
 
+@query(
+    "field_nested",
+    f"""WITH {tb.GRID_EVENTS}, m AS (SELECT source, lat, lon, avg(value) AS value FROM grid_events GROUP BY 1, 2, 3),
+    ax AS (SELECT source, count(DISTINCT lat) AS ny, count(DISTINCT lon) AS nx FROM m GROUP BY 1)
+    SELECT source, ny, nx, n, checksum FROM ax JOIN (SELECT source, count(value) AS n, round(sum(round(value, 2) * ry), 2) AS checksum
+      FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY lat) AS ry FROM m) GROUP BY source) USING (source)""",
+)
+def field_nested(spark, sf):
+    """Fields as nested arrays; shape and a row-weighted checksum of each."""
+    d = an.as_nested(cl.field_mean(shared(tb.grid_events(spark, sf)), K), K)
+    flat = F.flatten(F.transform("values", lambda row, k: F.transform(row, lambda v: v * (k + 1))))
+    total = F.aggregate(F.array_compact(flat), F.lit(0.0), lambda a, x: a + x)
+    return d.select("source", i(F.size("lats"), "ny"), i(F.size("lons"), "nx"), i(F.size(F.array_compact(flat)), "n"), r(total, 2, "checksum"))
+
+
 @query(
     "nearest_resample",
     f"""{SHIP}, {GCLIM}, {SNAP}, tl AS (SELECT round(29.8 + i * 0.7, 4) AS t FROM range(0, 7) x(i)), tn AS (SELECT round(69.9 + i * 0.7, 4) AS t FROM range(0, 7) x(i)),

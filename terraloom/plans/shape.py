@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def shared(df: DataFrame) -> DataFrame:
-    """Keep a pre-aggregated input that a query reads more than once.
-
-    Only daily records, fields and other reductions of the raw tables are kept, never the
-    raw tables; lost blocks are recomputed and what does not fit spills to disk.
-    """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+from terraloom.session import shared  # noqa: F401
 
 
 def r(col: str | Column, digits: int = 4, name: str | None = None) -> Column:

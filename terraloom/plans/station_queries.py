@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from terraloom.operators import climatology as cl
 from terraloom.operators import hazards as hz
 from terraloom.operators import windows as wn
-from terraloom.plans.registry import query
+from terraloom.plans.registry import ORACLES, query
 from terraloom.plans.shape import i, r, s, shared
 from terraloom.sources import tables as tb
 
@@ -381,3 +381,38 @@ def season_anchor(spark, sf):
     """Same-season anchor for a forecast issued on 5 September 2001."""
     obs = cl.with_calendar(tb.daily(spark, sf))
     return wn.season_anchor(obs, F.lit("2001-09-05").cast("date"), ["station"]).select("station", s("anchor_date"))
+
+
+@query(
+    "hazard_summary",
+    f"""SELECT station, as_of, active AS heat_active, recent_tmax_anomaly, spi, class AS spi_class, onset_date, progress_pct
+      FROM ({ORACLES['heat_status']}) h LEFT JOIN (SELECT * FROM ({ORACLES['spi3_latest']}) WHERE age = 0) d USING (station) LEFT JOIN ({ORACLES['season_onset']}) m USING (station)""",
+)
+def hazard_summary(spark, sf):
+    obs, c = clim_of(spark, sf, ["tmax"])
+    d = hz.summary(obs, c)
+    return d.select(
+        "station", s("as_of"), F.col("heat_active").cast("int").alias("heat_active"), r("recent_tmax_anomaly"), r("spi"), "spi_class",
+        s("onset_date"), r("progress_pct"),
+    )
+
+
+@query(
+    "analytics_bundle",
+    f"""SELECT station, record_days, hottest, coldest, wettest, slope_per_decade, latest_year, latest_days AS heavy_days, baseline_days, recent_tmin_anomaly
+      FROM ({ORACLES['records']}) r LEFT JOIN (SELECT DISTINCT station, slope_per_decade FROM ({ORACLES['warming_trend']})) w USING (station)
+      LEFT JOIN ({ORACLES['extreme_summary']}) e USING (station) LEFT JOIN ({ORACLES['cold_status']}) c USING (station)""",
+)
+def analytics_bundle(spark, sf):
+    obs, c = clim_of(spark, sf, ["tmin"])
+    d = hz.analytics(obs, c)
+    nums = ["hottest", "coldest", "wettest", "slope_per_decade", "baseline_days", "recent_tmin_anomaly"]
+    return d.select("station", "record_days", i("latest_year"), i("heavy_days"), *[r(x) for x in nums])
+
+
+@query(
+    "record_span",
+    f"{SIMPLE} SELECT station, CAST(min(obs_date) AS VARCHAR) AS start, CAST(max(obs_date) AS VARCHAR) AS \"end\", count(*) AS days FROM cal GROUP BY station",
+)
+def record_span(spark, sf):
+    return hz.record_span(tb.daily(spark, sf)).select("station", s("start"), s("end"), "days")

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +54,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder for a written table or a stream's state."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a pre-aggregated input that is read more than once.
+
+    Only daily records, fields and other reductions of the raw tables are kept, never the
+    raw tables; lost blocks are recomputed and what does not fit spills to disk.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

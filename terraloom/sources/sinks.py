@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.functions.text import file_stem
 from terraloom.operators import anomaly as an
 from terraloom.operators import catalog as ct
 from terraloom.operators import documents as dc
@@ -70,8 +71,7 @@ HISTORY_COLUMNS = ["id", "owner", "name", "created_at", "region", "mode", "prima
 def write_history(results: DataFrame, path: str) -> None:
     """Compact history record of triage results; the scene name is the file's stem, cut to
     80 characters (a fixed display width)."""
-    stem = F.substring(F.regexp_replace("name", r"\.[^.]*$", ""), 1, 80)
-    dc.project(results.withColumn("name", stem), HISTORY_COLUMNS).write.mode("append").parquet(path)
+    dc.project(results.withColumn("name", file_stem(F.col("name"))), HISTORY_COLUMNS).write.mode("append").parquet(path)
 
 
 def route_presets(docs: DataFrame, paths: dict[str, str]) -> None:
