@@ -24,20 +24,23 @@ def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> Dat
     """Catalogue entries whose [start, end] ranges overlap, per left entry the best partner:
     most shared days, then the fewest days, then the newest end.
 
-    Equal (start, end, days) partners of a key are interchangeable up to the id, so they
-    are reduced to the smallest id first; the join sees distinct ranges only.
+    Both sides are reduced to their distinct day ranges before the range join, so the pairs
+    are bounded by the calendar however many entries share a range; the ids come back by
+    equality joins. Partners of one (start, end, days) are interchangeable: the least id.
     """
     ranges = right.groupBy(*keys, F.col("start_ymd").alias("r_start"), F.col("end_ymd").alias("r_end"), F.col("days").alias("r_days")).agg(
         F.min("id").alias("right_id")
     )
-    l = left.select(*keys, F.col("id").alias("left_id"), F.col("start_ymd").alias("l_start"), F.col("end_ymd").alias("l_end"))
-    on = [l[k] == ranges[k] for k in keys]
-    j = l.join(ranges, [*on, F.col("r_end") >= F.col("l_start"), F.col("r_start") <= F.col("l_end")])
-    shared = F.datediff(
+    spans = left.select(*keys, F.col("start_ymd").alias("l_start"), F.col("end_ymd").alias("l_end")).distinct()
+    on = [spans[k] == ranges[k] for k in keys]
+    j = spans.join(ranges, [*on, F.col("r_end") >= F.col("l_start"), F.col("r_start") <= F.col("l_end")])
+    shared_days = F.datediff(
         F.to_date(F.least("r_end", "l_end"), "yyyyMMdd"), F.to_date(F.greatest("r_start", "l_start"), "yyyyMMdd")
     )
-    best = F.max(F.struct(shared.alias("overlap"), (-F.col("r_days")).alias("d"), F.col("r_end").alias("e"), F.col("right_id").alias("id")))
-    return j.groupBy(*[l[k] for k in keys], "left_id").agg(best.alias("_b")).select(
+    best = F.max(F.struct(shared_days.alias("overlap"), (-F.col("r_days")).alias("d"), F.col("r_end").alias("e"), F.col("right_id").alias("id")))
+    picked = j.groupBy(*[spans[k] for k in keys], "l_start", "l_end").agg(best.alias("_b"))
+    ids = left.select(*keys, F.col("id").alias("left_id"), F.col("start_ymd").alias("l_start"), F.col("end_ymd").alias("l_end"))
+    return ids.join(picked, [*keys, "l_start", "l_end"]).select(
         *keys, "left_id", F.col("_b.id").alias("right_id"), F.col("_b.overlap").alias("overlap_days")
     )
 

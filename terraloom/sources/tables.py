@@ -86,12 +86,13 @@ def ship_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRID_EVENTS = """grid_events AS (
   SELECT event_type AS source, 'rain' AS var, 'r' AS region, CAST(ts AS DATE) AS obs_date,
          CAST(30 + (user_id % 10) * 0.25 AS DOUBLE) AS lat,
-         CAST(70 + floor(user_id / 10) * 0.25 AS DOUBLE) AS lon, avg(value) / 9.9991 AS value
+         CAST(70 + floor(user_id / 10) % 120 * 0.25 AS DOUBLE) AS lon, avg(value) / 9.9991 AS value
   FROM events GROUP BY 1, 2, 3, 4, 5, 6)"""
 
 
 def grid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """30 daily fields per event type; one cell per user."""
+    """Daily fields per event type over 10 x 120 cells (like a regional grid, the number of
+    cells is fixed); users share the cells."""
     e = table(spark, sf_dir, "events")
     return e.groupBy(
         F.col("event_type").alias("source"),
@@ -99,7 +100,7 @@ def grid_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("r").alias("region"),
         F.to_date("ts").alias("obs_date"),
         (F.lit(30.0) + F.pmod("user_id", F.lit(10)) * 0.25).alias("lat"),
-        (F.lit(70.0) + F.floor(F.col("user_id") / 10) * 0.25).alias("lon"),
+        (F.lit(70.0) + F.pmod(F.floor(F.col("user_id") / 10), F.lit(120)) * 0.25).alias("lon"),
     ).agg((F.avg("value") / 9.9991).alias("value"))
 
 
@@ -150,16 +151,18 @@ GRID_ORDERS = """grid_orders AS (
 
 
 def grid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    # summed per customer and day first: a customer with very many orders is reduced in
+    # every task before the join
+    o = (
+        table(spark, sf_dir, "orders")
+        .groupBy("o_custkey", F.to_date("o_orderdate").alias("obs_date"))
+        .agg(F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("n"))
+    )
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return (
         o.join(c, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(
-            named("orders", "c_nationkey").alias("source"),
-            F.to_date("o_orderdate").alias("obs_date"),
-            *_nation_cell("c_nationkey"),
-        )
-        .agg((F.avg("o_totalprice") / 9999.1).alias("value"))
+        .groupBy(named("orders", "c_nationkey").alias("source"), "obs_date", *_nation_cell("c_nationkey"))
+        .agg((F.sum("s") / F.sum("n") / 9999.1).alias("value"))
     )
 
 

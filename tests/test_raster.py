@@ -7,8 +7,7 @@ from terraloom.operators import focal as fo
 from terraloom.operators import scene as sc
 from terraloom.operators import skill as sk
 from terraloom.operators import spectral as sp
-from terraloom.operators.quantile import exact_quantiles
-from terraloom.operators.ranking import group_rank
+from terraloom.operators.ranking import exact_quantiles, group_rank
 
 K = ["scene_id"]
 
