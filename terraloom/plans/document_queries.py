@@ -69,7 +69,7 @@ def doc_recent(spark, sf):
     f"{D} SELECT owner, id, name FROM docs QUALIFY row_number() OVER (PARTITION BY owner ORDER BY created_at DESC) <= 50",
 )
 def doc_listing(spark, sf):
-    """The reference listing: the newest 50 per owner, whitelisted columns."""
+    """Listing: the newest 50 per owner, whitelisted columns."""
     return dc.project(dc.newest(tb.docs(spark, sf), K, "created_at", "id", 50), ["owner", "id", "name"])
 
 

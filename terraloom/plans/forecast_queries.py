@@ -10,7 +10,7 @@ from terraloom.operators import hazards as hz
 from terraloom.operators import impact as im
 from terraloom.operators import skill as sk
 from terraloom.operators import windows as wn
-from terraloom.plans.registry import query
+from terraloom.plans.registry import ORACLES, query
 from terraloom.plans.shape import i, r, s, shared
 from terraloom.plans.station_queries import BASE, STATE_SQL, clim_of, state_of
 
@@ -171,27 +171,6 @@ def outlook_parts(spark, sf):
     return obs, clim, shared(rain), shared(temp)
 
 
-@query("soil_outlook")
-def soil_outlook(spark, sf):
-    """Soil-moisture and drought-risk outlook (recomputed step by step in the tests)."""
-    obs, clim, rain, temp = outlook_parts(spark, sf)
-    state = hz.current_state(obs, clim)
-    o = fc.soil_outlook(wn.last_rows(obs, 7, ["station"]), rain, temp, clim, state)
-    cols = ["soil", "soil_upper", "soil_lower", "drought_risk", "risk_upper", "risk_lower"]
-    return o.select("station", s("day"), i("step"), *[r(c) for c in cols])
-
-
-@query("advisories")
-def advisories(spark, sf):
-    obs, clim, rain, temp = outlook_parts(spark, sf)
-    clim4 = cl.doy_climatology(obs, ["tmax", "tmin"])
-    state = shared(hz.current_state(obs, clim))
-    ranked = im.ranked_districts(im.districts(state))
-    heat, cold = hz.heat_status(hz.heat_days(obs, clim4)), hz.cold_status(obs, clim4)
-    a = im.advisories(state, ranked, heat, cold, fc.outlook_totals(rain, temp))
-    return a.select("station", "ord", "level", "title", "districts")
-
-
 @query(
     "climatology_rmse",
     f"{BASE} SELECT station, count(*) AS n, round(sqrt(avg(pow(tmean - tmean_mean, 2))), 4) AS rmse FROM cal JOIN clim USING (station, doy) WHERE age < 365 GROUP BY station",
@@ -214,11 +193,11 @@ def district_layer(spark, sf):
     return im.districts(state_of(spark, sf)[2]).select("station", "name", r("rain"), r("temp"), r("soil"))
 
 
-@query(
-    "district_ranking",
-    f"""{BASE}, {STATE_SQL}, {LAYER} SELECT station, coalesce(string_agg(name, ',' ORDER BY rain, ord) FILTER (WHERE rain < -20), '') AS dry,
-      coalesce(string_agg(name, ',' ORDER BY rain DESC, ord) FILTER (WHERE rain > 25), '') AS wet FROM layer GROUP BY station""",
-)
+DISTRICT_RANKING = f"""{BASE}, {STATE_SQL}, {LAYER} SELECT station, coalesce(string_agg(name, ',' ORDER BY rain, ord) FILTER (WHERE rain < -20), '') AS dry,
+      coalesce(string_agg(name, ',' ORDER BY rain DESC, ord) FILTER (WHERE rain > 25), '') AS wet FROM layer GROUP BY station"""
+
+
+@query("district_ranking", DISTRICT_RANKING)
 def district_ranking(spark, sf):
     d = im.ranked_districts(im.districts(state_of(spark, sf)[2]))
     return d.select("station", F.array_join("dry", ",").alias("dry"), F.array_join("wet", ",").alias("wet"))
@@ -265,3 +244,71 @@ def sector_risks(spark, sf):
     return im.sector_risks(im.narrative(sweep(spark, sf))).withColumn("risk_score", i("risk_score"))
 
 
+def _live(value: str) -> str:
+    """The live forecast of a variable as a nested query."""
+    return f"({BASE}, {frame_sql(value)}, {live_sql(value, '')} SELECT station, lead, td, clim, value, rmse FROM fv)"
+
+
+OUTLOOK = f"""rf AS {_live('precip')}, tf AS {_live('tmean')}"""
+
+
+@query(
+    "soil_outlook",
+    f"""{BASE}, {STATE_SQL}, {OUTLOOK},
+    sq AS (SELECT station, obs_date AS day, -age AS step, precip AS rain, tmean AS temp, 0.0 AS spread FROM cal WHERE age < 7
+      UNION ALL SELECT r.station, r.td, r.lead, r.value, t.value, r.rmse FROM rf r JOIN tf t ON t.station = r.station AND t.lead = r.lead),
+    dl AS (SELECT sq.*, CASE WHEN step = -6 THEN 0.0 ELSE 0.012 * (rain - precip_mean) - 0.007 * (temp - tmean_mean) END AS d FROM sq JOIN clim c ON c.station = sq.station AND c.doy = least(dayofyear(day), 365)),
+    rw AS (SELECT *, sum(d) OVER (PARTITION BY station ORDER BY step) AS raw FROM dl),
+    so AS (SELECT rw.station, day, step, greatest(0.08, least(0.95, raw + soil_moisture - (SELECT z.raw FROM rw z WHERE z.station = rw.station AND z.step = 0))) AS soil, CASE WHEN step > 0 THEN 0.012 * spread * sqrt(step) ELSE 0 END AS b FROM rw JOIN current_state st ON st.station = rw.station),
+    dr AS (SELECT *, greatest(0, least(100, (0.55 - soil) * 185)) AS risk FROM so)
+    SELECT station, CAST(day AS VARCHAR) AS day, step, round(soil, 4) AS soil, round(least(0.95, soil + b), 4) AS soil_upper, round(greatest(0, soil - b), 4) AS soil_lower,
+      round(risk, 4) AS drought_risk, round(least(100, risk + b * 185), 4) AS risk_upper, round(greatest(0, risk - b * 185), 4) AS risk_lower FROM dr""",
+)
+def soil_outlook(spark, sf):
+    obs, clim, rain, temp = outlook_parts(spark, sf)
+    state = hz.current_state(obs, clim)
+    o = fc.soil_outlook(wn.last_rows(obs, 7, ["station"]), rain, temp, clim, state)
+    cols = ["soil", "soil_upper", "soil_lower", "drought_risk", "risk_upper", "risk_lower"]
+    return o.select("station", s("day"), i("step"), *[r(c) for c in cols])
+
+
+@query(
+    "outlook_totals",
+    f"""WITH {OUTLOOK} SELECT station, round(sum(r.value), 4) AS rain_total, round(sum(r.clim), 4) AS rain_normal, round(avg(t.value), 4) AS temp_mean, round(avg(t.clim), 4) AS temp_normal
+      FROM rf r JOIN tf t USING (station, lead) GROUP BY station""",
+)
+def outlook_totals(spark, sf):
+    _, _, rain, temp = outlook_parts(spark, sf)
+    o = fc.outlook_totals(rain, temp)
+    return o.select("station", *[r(c) for c in ("rain_total", "rain_normal", "temp_mean", "temp_normal")])
+
+
+def _names(col: str, n: int) -> str:
+    return f"CASE WHEN {col} = '' THEN 'Statewide' ELSE array_to_string(string_split({col}, ',')[1:{n}], ', ') END"
+
+
+@query(
+    "advisories",
+    f"""{BASE}, {STATE_SQL}, hw AS ({ORACLES['heat_status']}), cw AS ({ORACLES['cold_status']}), dk AS ({DISTRICT_RANKING}),
+    adv AS (SELECT c.*, dry, wet, hw.active AS hot, cw.active AS cold FROM current_state c JOIN dk USING (station) JOIN hw USING (station) JOIN cw USING (station))
+    SELECT station, 0 AS ord, 'warning' AS level, drought_class || ' drought watch' AS title, {_names('dry', 4)} AS districts FROM adv WHERE drought_class IN ('Moderate', 'Severe')
+    UNION ALL SELECT station, 1, 'warning', 'Above-normal rainfall: flash-flood and landslide watch', {_names('wet', 4)} FROM adv WHERE rain_anomaly_pct > 25
+    UNION ALL SELECT station, 2, 'warning', 'Elevated surface temperature', 'Jammu, Kathua, Udhampur' FROM adv WHERE temp_anomaly > 1
+    UNION ALL SELECT station, 3, 'warning', 'Below-normal temperature: cold advisory', 'Srinagar, Anantnag, Baramulla' FROM adv WHERE temp_anomaly < -1
+    UNION ALL SELECT station, 4, 'alert', 'Root-zone soil-moisture stress', {_names('dry', 3)} FROM adv WHERE soil_moisture < 0.35
+    UNION ALL SELECT station, 5, 'info', 'High soil saturation', {_names('wet', 3)} FROM adv WHERE soil_moisture > 0.6
+    UNION ALL SELECT station, 6, 'info', '14-day outlook', 'Statewide' FROM adv
+    UNION ALL SELECT station, 7, 'alert', 'Heatwave conditions', 'Jammu, Kathua, Samba' FROM adv WHERE hot = 1
+    UNION ALL SELECT station, 8, 'alert', 'Cold-snap conditions', 'Srinagar, Anantnag, Kishtwar' FROM adv WHERE cold = 1""",
+)
+def advisories(spark, sf):
+    """Advisory rows; the outlook's title is cut at its colon (its numbers are checked by
+    ``outlook_totals``)."""
+    obs, clim, rain, temp = outlook_parts(spark, sf)
+    clim4 = cl.doy_climatology(obs, ["tmax", "tmin"])
+    state = shared(hz.current_state(obs, clim))
+    ranked = im.ranked_districts(im.districts(state))
+    heat, cold = hz.heat_status(hz.heat_days(obs, clim4)), hz.cold_status(obs, clim4)
+    a = im.advisories(state, ranked, heat, cold, fc.outlook_totals(rain, temp))
+    title = F.when(F.col("ord") == 6, F.substring_index("title", ":", 1)).otherwise(F.col("title")).alias("title")
+    return a.select("station", "ord", "level", title, "districts")

@@ -222,7 +222,7 @@ def grid_persistence(spark, sf):
     base AS (SELECT sqrt(avg(anom * anom)) AS clim_rmse FROM t),
     p AS (SELECT l AS lead, sqrt(avg(pow(b.anom * pow(0.6, l) - t.anom, 2))) AS rmse, count(*) AS n FROM t CROSS JOIN (VALUES (1), (7), (14)) v(l)
       JOIN a b ON b.lat = t.lat AND b.lon = t.lon AND b.obs_date = CAST(t.obs_date - CAST(l AS INT) AS DATE) GROUP BY l)
-    SELECT lead, n, round(clim_rmse, 4) AS clim_rmse, round(rmse, 4) AS rmse, round((1 - rmse / clim_rmse) * 100, 4) AS skill_pct FROM p, base""",
+    SELECT CAST(lead AS BIGINT) AS lead, n, round(clim_rmse, 4) AS clim_rmse, round(rmse, 4) AS rmse, round((1 - rmse / clim_rmse) * 100, 4) AS skill_pct FROM p, base""",
 )
 def grid_persistence_skill(spark, sf):
     g, c = ship(spark, sf)
@@ -248,7 +248,7 @@ def phi_rows(spark, sf):
 
 @query(
     "phi_decay",
-    f"""{SHIP}, {GCLIM}, {NORMALS} SELECT lead, round(any_value(phi), 5) AS phi, round(sqrt(avg(pow(phi * s - y, 2))), 4) AS rmse, round(sqrt(avg(y * y)), 4) AS clim_rmse,
+    f"""{SHIP}, {GCLIM}, {NORMALS} SELECT CAST(lead AS BIGINT) AS lead, round(any_value(phi), 5) AS phi, round(sqrt(avg(pow(phi * s - y, 2))), 4) AS rmse, round(sqrt(avg(y * y)), 4) AS clim_rmse,
       round(sqrt(avg(pow(pow(0.6, lead) * s - y, 2))), 4) AS persist_rmse, count(*) AS n_test,
       round((1 - sqrt(avg(pow(phi * s - y, 2))) / sqrt(avg(y * y))) * 100, 4) AS skill_vs_clim_pct FROM rws JOIN ph USING (lead) WHERE NOT fit GROUP BY lead""",
 )

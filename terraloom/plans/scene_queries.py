@@ -215,7 +215,7 @@ def probabilities(spark, sf):
 def prob_projection(spark, sf):
     d = probabilities(spark, sf).withColumn("q", sp.project(F.col("p")))
     return d.select(
-        "vec_id", *[r(F.element_at("q", k + 1), 5, c.lower()) for k, c in enumerate(CLASSES)], i(sp.argmax(F.col("q")), "cls"), r(F.array_max("q"), 5, "confidence")
+        "vec_id", *[r(F.element_at("q", k + 1), 5, c.lower()) for k, c in enumerate(CLASSES)], sp.argmax(F.col("q")).alias("cls"), r(F.array_max("q"), 5, "confidence")
     )
 
 
@@ -244,7 +244,13 @@ def class_scores(spark, sf):
     return s.select("cls", i("support"), i("tp"), r("precision", 5), r("recall", 5), r("f1", 5), r("iou", 5))
 
 
-@query("accuracy_summary")
+@query(
+    "accuracy_summary",
+    f"""{PRED}, t AS (SELECT truth AS cls, sum(n) AS s FROM conf GROUP BY 1), p AS (SELECT pred AS cls, sum(n) AS q FROM conf GROUP BY 1), d AS (SELECT truth AS cls, n AS tp FROM conf WHERE truth = pred),
+    j AS (SELECT coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(tp, 0) AS tp FROM t FULL JOIN p USING (cls) LEFT JOIN d USING (cls)),
+    m AS (SELECT *, tp / (q + 1e-9) AS pr, tp / (s + 1e-9) AS rc FROM j)
+    SELECT round(sum(tp) / sum(s) * 100, 4) AS accuracy_pct, round(avg(2 * pr * rc / (pr + rc + 1e-9)) * 100, 4) AS macro_f1_pct, round(avg(tp / (s + q - tp + 1e-9)) * 100, 4) AS mean_iou_pct FROM m""",
+)
 def accuracy_summary(spark, sf):
     s = sk.overall_scores(sk.class_scores(shared(sk.confusion(predictions(spark, sf), "truth", "pred"))))
     return s.select(r("accuracy_pct"), r("macro_f1_pct"), r("mean_iou_pct"))
@@ -304,7 +310,7 @@ REFLECT = """refl AS (SELECT scene_id, v.y, v.x, t.k AS ty, u.k AS tx FROM (SELE
       WINDOW w AS (PARTITION BY scene_id, y ORDER BY x ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
     ry AS (SELECT scene_id, y, x, sum(s0) OVER w / 121 AS s0, sum(s1) OVER w / 121 AS s1, sum(s2) OVER w / 121 AS s2, sum(q0) OVER w / 121 AS q0, sum(q1) OVER w / 121 AS q1, sum(q2) OVER w / 121 AS q2 FROM rx
       WINDOW w AS (PARTITION BY scene_id, x ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING))
-    SELECT scene_id, y, x, round((sqrt(greatest(q0 - s0 * s0, 0)) + sqrt(greatest(q1 - s1 * s1, 0)) + sqrt(greatest(q2 - s2 * s2, 0))) / 3, 5) AS het
+    SELECT scene_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round((sqrt(greatest(q0 - s0 * s0, 0)) + sqrt(greatest(q1 - s1 * s1, 0)) + sqrt(greatest(q2 - s2 * s2, 0))) / 3, 5) AS het
     FROM ry WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 39""",
 )
 def box_heterogeneity(spark, sf):
@@ -364,7 +370,7 @@ def median5(spark, sf):
     pp AS (SELECT scene_id, a.t AS y, b.t AS x, CAST(b0 > 0.5 AS INT) AS m FROM raster JOIN ay a ON y = a.s JOIN ay b ON x = b.s),
     rx AS (SELECT scene_id, y, x, sum(m) OVER (PARTITION BY scene_id, y ORDER BY x ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS s FROM pp),
     ry AS (SELECT scene_id, y, x, sum(s) OVER (PARTITION BY scene_id, x ORDER BY y ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) / 441 AS d FROM rx)
-    SELECT scene_id, y, x, round(d, 5) AS density FROM ry WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 39""",
+    SELECT scene_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, round(d, 5) AS density FROM ry WHERE y BETWEEN 0 AND 39 AND x BETWEEN 0 AND 39""",
 )
 def density_blur(spark, sf):
     px = tb.raster(spark, sf).withColumn("m", F.col("b0") > 0.5)
@@ -410,7 +416,7 @@ def comp_px(spark, sf):
 
 @query(
     "components",
-    f"""{CMASK}, {_reach(False)} SELECT scene_key AS scene_id, min(x) AS bx, min(y) AS "by", max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, count(*) AS area FROM comp GROUP BY scene_key, c""",
+    f"""{CMASK}, {_reach(False)} SELECT scene_key AS scene_id, CAST(min(x) AS BIGINT) AS bx, CAST(min(y) AS BIGINT) AS "by", CAST(max(x) - min(x) + 1 AS BIGINT) AS bw, CAST(max(y) - min(y) + 1 AS BIGINT) AS bh, count(*) AS area FROM comp GROUP BY scene_key, c""",
 )
 def components(spark, sf):
     b = co.boxes(co.label(comp_px(spark, sf), K), K)
@@ -419,7 +425,7 @@ def components(spark, sf):
 
 @query(
     "blob_boxes",
-    f"""{CMASK}, {_reach(True)}, bx AS (SELECT scene_key AS scene_id, min(c) AS c, min(x) AS bx, min(y) AS "by", max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, count(*) AS area FROM comp GROUP BY scene_key, c)
+    f"""{CMASK}, {_reach(True)}, bx AS (SELECT scene_key AS scene_id, min(c) AS c, CAST(min(x) AS BIGINT) AS bx, CAST(min(y) AS BIGINT) AS "by", CAST(max(x) - min(x) + 1 AS BIGINT) AS bw, CAST(max(y) - min(y) + 1 AS BIGINT) AS bh, count(*) AS area FROM comp GROUP BY scene_key, c)
     SELECT scene_id, bx, "by", bw, bh, round(area / (bw * bh), 5) AS purity FROM bx WHERE area >= 0.004 * 1600 AND bw / bh BETWEEN 0.3 AND 3
     QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY bw * bh DESC, c) <= 6""",
 )

@@ -279,7 +279,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --------------------------------------------------------------------------- rasters
 RASTER = """raster AS (
-  SELECT vec_id // 100 AS scene_id, (vec_id % 100) // 10 * 4 + p // 4 AS y, vec_id % 10 * 4 + p % 4 AS x,
+  SELECT vec_id // 100 AS scene_id, CAST((vec_id % 100) // 10 * 4 + p // 4 AS INT) AS y, CAST(vec_id % 10 * 4 + p % 4 AS INT) AS x,
          label, max(CASE WHEN band = 0 THEN v END) AS b0, max(CASE WHEN band = 1 THEN v END) AS b1,
          max(CASE WHEN band = 2 THEN v END) AS b2, max(CASE WHEN band = 3 THEN v END) AS b3
   FROM (SELECT vec_id, label, pos // 16 AS band, pos % 16 AS p,

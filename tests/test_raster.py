@@ -174,7 +174,7 @@ def test_area_resize_keeps_the_mean(spark):
     assert np.allclose(same, a)
 
 
-def test_patches_cover_like_the_reference_loop(spark):
+def test_patches_cover_like_a_plain_loop(spark):
     h, w, p, s = 21, 16, 8, 4
     ys, xs = list(range(0, h - p + 1, s)), list(range(0, w - p + 1, s))
     ys = ys if ys[-1] == h - p else ys + [h - p]
