@@ -29,6 +29,15 @@ def local_session(cpus: int | str = 8, app: str = "terraloom") -> SparkSession:
     return spark
 
 
+def fit_local(spark: SparkSession) -> None:
+    """On a local master that leaves the shuffle partitions at Spark's default, use one per
+    thread. A cluster's setting is never touched."""
+    sc = spark.sparkContext
+    key = "spark.sql.shuffle.partitions"
+    if sc.master.startswith("local") and not sc.getConf().contains(key) and spark.conf.get(key) == "200":
+        spark.conf.set(key, str(max(4, sc.defaultParallelism)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

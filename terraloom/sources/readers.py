@@ -196,20 +196,25 @@ def read_preset(spark: SparkSession, folder: str, preset_id: str) -> DataFrame:
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Image files to pixels (scene_id, y, x, r, g, b in 0..1).
 
-    The source decodes to blue-green-red bytes. Reading the bytes by position keeps the
-    expansion inside each row; large images give many rows, not large ones.
+    The source decodes to blue-green-red bytes. An image is cut into lines and a line into
+    pixels, so a row never carries more than its own part of the image.
     """
     img = spark.read.format("image").option("dropInvalid", True).load(path)
-    i = img.select(F.col("image.origin").alias("scene_id"), "image.width", "image.nChannels", F.hex("image.data").alias("_h"),
-                   F.explode(F.sequence(F.lit(0), F.col("image.height") - 1)).alias("y"))
-    row = F.expr("substring(_h, y * width * nChannels * 2 + 1, width * nChannels * 2)")
-    i = i.withColumn("_row", row).drop("_h").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
-
-    def channel(k: int) -> Column:
-        at = f"(x * nChannels + least({k}, nChannels - 1)) * 2 + 1"
-        return (F.conv(F.expr(f"substring(_row, {at}, 2)"), 16, 10).cast("double") / 255.0)
-
-    return i.select("scene_id", "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
+    i = img.select(F.col("image.origin").alias("scene_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"),
+                   F.col("image.nChannels").alias("c"), F.hex("image.data").alias("_hex"))
+    size = F.col("w") * F.col("c") * 2
+    lines = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.substring(F.col("_hex"), y * size + 1, size))
+    i = i.select("scene_id", "w", "c", F.posexplode(lines).alias("y", "_line"))
+
+    def channel(x: Column, k: int) -> Column:
+        at = (x * F.col("c") + F.least(F.lit(k), F.col("c") - 1)) * 2 + 1
+        return F.conv(F.substring(F.col("_line"), at, F.lit(2)), 16, 10).cast("double") / 255.0
+
+    cells = F.transform(
+        F.sequence(F.lit(0), F.col("w") - 1),
+        lambda x: F.struct(channel(x, 2).alias("r"), channel(x, 1).alias("g"), channel(x, 0).alias("b")),
+    )
+    return i.select("scene_id", "y", F.posexplode(cells).alias("x", "_p")).select("scene_id", "y", "x", "_p.*")
 
 
 def read_labelled_tiles(spark: SparkSession, path: str) -> DataFrame:
