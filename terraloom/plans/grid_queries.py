@@ -322,7 +322,7 @@ def fused_of(spark, sf):
     keys = ["region"]
     windows = p.groupBy("region", "window_id").agg(F.max("window_id").alias("window_end"))
     station = p.filter((F.col("lat") == 32.0) & (F.col("lon") == 73.0))
-    weights = fu.choose_weights(windows, fu.blue_statistics(station, ["region", "window_id"]), keys)
+    weights = shared(fu.choose_weights(windows, fu.blue_statistics(station, ["region", "window_id"]), keys))
     live = p.join(weights.select("region", F.col("live_id").alias("window_id")), ["region", "window_id"], "left_semi")
     clim = cl.monthly_grid_climatology(shared(tb.grid_ship(spark, sf)), []).withColumn("region", tb.named("r", "lat"))
     return weights, fu.fuse_fields(live, weights, clim, keys)
