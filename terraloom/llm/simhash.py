@@ -89,7 +89,7 @@ def _with_near_halves(fps: DataFrame) -> DataFrame:
     odd = F.bit_count("half") % 2 == 1
     keys = halves.select("fp", "side", "half", F.explode(F.when(odd, _longs([0, *ONE_BIT[:32]])).otherwise(_longs([0]))).alias("flip")).select(
         "fp", F.col("half").bitwiseXOR(F.col("flip")).bitwiseOR(F.shiftleft(F.col("side").cast("bigint"), 32)).alias("key")
-    )
+    ).repartition("key")  # one exchange for the minima and for the join with them
     met = keys.groupBy("key").agg(F.min("fp").alias("_lo"), F.max("fp").alias("_hi")).filter("_lo < _hi").select("key")
     return keys.join(met, "key").select("fp").distinct()
 
