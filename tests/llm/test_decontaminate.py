@@ -56,7 +56,7 @@ def test_spans_point_into_the_original():
     m = dc.Matcher([(1, b"one two three four five six seven eight nine ten eleven"), (2, "größe x".encode())])
     text = "Zero -- ONE, two... three four five six seven eight nine\tTEN eleven end; Größe (X)!"
     assert [text[a:b] for a, b in dc.hit_spans(text, m)] == ["ONE, two... three four five six seven eight nine\tTEN eleven", "Größe (X"]
-    assert [text[a:b] for a, b in dc.hit_spans("größe x größe X", m)] == ["größe x größe X"]
+    assert dc.hit_spans("größe x größe X", m) == [(0, 15)]
     assert dc.hit_spans("nothing", m) == []
 
 
