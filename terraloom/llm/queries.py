@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, simhash, tokencount
-from terraloom.llm.common import table
+from terraloom.llm import decontaminate, exactdedup, extendible, mixing, simhash, tokencount
+from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +56,55 @@ FROM d LEFT JOIN hw USING (rid) LEFT JOIN it USING (rid)
 """)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op3_extendible_shards", f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents),
+lv AS (SELECT doc_id, n, h, depth, h >> (60 - depth) AS p FROM d, (SELECT unnest(range(0, 61))::INT AS depth)),
+s AS (SELECT depth, p, sum(n) AS b, count(*) AS c FROM lv GROUP BY depth, p),
+leaf AS (SELECT doc_id, n, h, min(depth) AS depth FROM lv JOIN s USING (depth, p) WHERE b <= {SHARD_BYTES} OR c = 1 GROUP BY doc_id, n, h)
+SELECT doc_id, n AS n_bytes, depth, CASE WHEN depth = 0 THEN 'all' ELSE lpad(bin(h >> (60 - depth)), depth, '0') END AS shard FROM leaf
+""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of one MiB: the unit that a training loader fetches and shuffles."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("_size"), extendible.hash60("doc_id").alias("_h"))
+    out = extendible.assign(stored(docs, "sizes"), SHARD_BYTES)
+    return out.select("doc_id", F.col("_size").alias("n_bytes"), F.col("_depth").alias("depth"), extendible.bucket_name().alias("shard"))
+
+
+_SQL_SPACE = r"'[\x20\x09-\x0D]+'"
+
+
+@query("op4_exact_dedup", f"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_SQL_SPACE}, ' ', 'g') AS t FROM documents),
+g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)
+""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_source_mixing", r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  ('0x' || substr(md5('1:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS u FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+s AS (SELECT source, source_size, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM n),
+o AS (SELECT *, row_number() OVER (ORDER BY 3 * source_size / w, source) AS k FROM s),
+c AS (SELECT k, 3 * source_size / w AS r, (SELECT sum(source_size) FROM s)::DOUBLE AS total,
+             (sum(3 * source_size) OVER (ORDER BY k) - 3 * source_size)::DOUBLE AS fixed, sum(w) OVER () - sum(w) OVER (ORDER BY k) + w AS free FROM o),
+l AS (SELECT (total - fixed) / free AS level FROM c WHERE (total - fixed) / free <= r ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, least(w * (SELECT level FROM l), (3 * source_size)::DOUBLE) AS target FROM s),
+g AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(round(target) / source_size) END::BIGINT AS whole FROM t),
+h AS (SELECT *, round(target)::BIGINT - whole * source_size AS rest FROM g),
+un AS (SELECT source, u, doc_id, sum(size)::BIGINT AS unit FROM d GROUP BY ALL),
+st AS (SELECT source, u, doc_id, unit, (sum(unit) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UNBOUNDED PRECEDING) - unit)::BIGINT AS start FROM un),
+p AS (SELECT st.source, st.doc_id, CASE WHEN unit > 0 THEN least(greatest((rest - start) / unit, 0.0), 1.0) ELSE 0.0 END AS part FROM st JOIN h ON st.source IS NOT DISTINCT FROM h.source)
+SELECT d.doc_id, d.size, h.source_size, h.target, (whole * size + round(part * size))::BIGINT AS taken
+FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.doc_id IS NOT DISTINCT FROM p.doc_id
+""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
