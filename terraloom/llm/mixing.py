@@ -30,7 +30,7 @@ from terraloom.llm.common import stored
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
-CELL_BITS = 16
+CELL_BITS = 12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
