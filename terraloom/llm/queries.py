@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, exactdedup, extendible, mixing, quality, simhash, tokencount, toxicity
+from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, quality, simhash, tokencount, toxicity
 from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+@query("op9_main_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_texts(table(spark, sf_dir, "pages"))
