@@ -197,11 +197,32 @@ def _by_join(docs: DataFrame, bench: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    items, small = _items(bench, item_id, item_text)
+    if small:
+        return _by_automaton(narrow, [(r.item_id, r.text.encode()) for r in items.collect()])
+    return _by_join(narrow, items)
+
+
+def _items(bench: DataFrame, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, bool]:
+    """The usable items, and whether their automaton has a size that every executor can hold."""
     items = bench.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     # a window or word takes at least one word of its item, and a word at least two bytes with its separator
     most = items.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
-    if most <= min(MAX_WINDOWS, MAX_WORDS):
-        return _by_automaton(narrow, [(r.item_id, r.text.encode()) for r in items.collect()])
-    return _by_join(narrow, items)
+    return items, most <= min(MAX_WINDOWS, MAX_WORDS)
+
+
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without any occurring window."""
+    items, small = _items(bench)
+    if not small:
+        bad = _by_join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    shared, key = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.collect()]), uuid.uuid4().hex
+    at = docs.columns.index("text")
 
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _matcher(key, shared)
+        for b in batches:
+            yield b.filter(pa.array([not m.hits(words_of(t))[0] for t in utf8(b.column(at))], pa.bool_()))
 
+    return docs.mapInArrow(keep, docs.schema)

@@ -65,41 +65,73 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, epochs: int = EPOCHS, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, taken) of every row of ``docs``."""
-    sized = stored(docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), place(doc_id, seed).alias("u"),
-    ), "sized")
-    return _mix_sized(sized, weights, share, epochs)
-
-
-def _mix_sized(sized: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> DataFrame:
-    cell = F.shiftright("u", 60 - CELL_BITS)
-    cells = stored(sized.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("words")), "cells")
+def _rules(sized: DataFrame, weights: tuple[int, ...], share: float, epochs: int) -> tuple[DataFrame, DataFrame]:
+    """From (source, doc_id, size, u): a row for each source, with its whole repetitions and its border
+    cell, and the part that each document of a border cell gives to the fractional repetition."""
+    cells = stored(sized.groupBy("source", _cell("u").alias("cell")).agg(F.sum("size").alias("words")), "cells")
     sums = cells.groupBy("source").agg(F.sum("words").alias("source_size"))
     goals = source_targets(sums, weights, share, epochs)
     whole = F.coalesce(F.floor(F.round(F.col("target")) / F.nullif("source_size", F.lit(0))), F.lit(0))
     goals = goals.withColumn("whole", whole).withColumn("rest", F.round("target").cast("bigint") - F.col("whole") * F.col("source_size"))
     goals = stored(goals, "goals")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-    same_source = lambda a, b: a["source"].eqNullSafe(b["source"])
     running = cells.withColumn("upto", upto)
-    border = stored(running.join(goals, same_source(running, goals)).filter("upto - words < rest AND upto >= rest").select(
+    border = stored(running.join(goals, running["source"].eqNullSafe(goals["source"])).filter("upto - words < rest AND upto >= rest").select(
         goals["source"], "cell", (F.col("upto") - F.col("words")).alias("before")
     ), "border")
-    ruled = stored(goals.join(border, same_source(goals, border), "left").select(
-        goals["source"].alias("rule_source"), "source_size", "target", "whole", "rest", F.coalesce("cell", F.lit(-1)).alias("border"), F.coalesce("before", F.lit(0)).alias("before")
+    ruled = stored(goals.join(border, goals["source"].eqNullSafe(border["source"]), "left").select(
+        goals["source"].alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("whole").alias("_whole"),
+        F.col("rest").alias("_rest"), F.coalesce("cell", F.lit(-1)).alias("_border"), F.coalesce("before", F.lit(0)).alias("_before"),
     ), "rules")
-    d = sized.withColumn("cell", cell)
-    at = d.join(ruled, d["source"].eqNullSafe(ruled["rule_source"])).drop("rule_source")
-    inner = at.filter("cell = border")
-    units = inner.groupBy("source", "u", "doc_id").agg(F.sum("size").alias("unit"), F.first("before").alias("before"), F.first("rest").alias("rest"))
-    start = F.col("before") + F.sum("unit").over(Window.partitionBy("source").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("unit")
+    inner = sized.join(ruled, sized["source"].eqNullSafe(ruled["_source"])).filter(_cell("u") == F.col("_border"))
+    units = inner.groupBy("source", "u", "doc_id").agg(F.sum("size").alias("unit"), F.first("_before").alias("_before"), F.first("_rest").alias("_rest"))
+    start = F.col("_before") + F.sum("unit").over(Window.partitionBy("source").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("unit")
     part = units.withColumn("start", start).select(
-        F.col("source").alias("unit_source"), F.col("doc_id").alias("unit_id"),
-        F.when(F.col("unit") > 0, F.least(F.greatest((F.col("rest") - F.col("start")) / F.col("unit"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("part"),
+        F.col("source").alias("_unit_source"), F.col("doc_id").alias("_unit_id"),
+        F.when(F.col("unit") > 0, F.least(F.greatest((F.col("_rest") - F.col("start")) / F.col("unit"), F.lit(0.0)), F.lit(1.0))).otherwise(0.0).alias("_part"),
     )
-    edge = inner.join(part, inner["source"].eqNullSafe(part["unit_source"]) & inner["doc_id"].eqNullSafe(part["unit_id"])).drop("unit_source", "unit_id")
-    others = at.filter("cell != border").withColumn("part", F.when(F.col("cell") < F.col("border"), 1.0).otherwise(0.0))
-    taken = F.col("whole") * F.col("size") + F.round(F.col("part") * F.col("size")).cast("bigint")
-    return others.unionByName(edge).select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return ruled, part
+
+
+def _cell(u: str) -> Column:
+    return F.shiftright(u, 60 - CELL_BITS)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.0, epochs: int = EPOCHS, seed: int = 1, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs`` with ``_size``, ``_source_size``, ``_target``, ``_whole`` (repetitions) and ``_part``
+    (of one more repetition)."""
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+    sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), place(doc_id, seed).alias("u")), "sized")
+    ruled, part = _rules(sized, weights, share, epochs)
+    at = docs.withColumns({"_size": size, "_u": place(doc_id, seed)})
+    at = at.join(ruled, at[source].eqNullSafe(ruled["_source"]))
+    cell = _cell("_u")
+    edge = at.filter(cell == F.col("_border"))
+    edge = edge.join(part, edge[source].eqNullSafe(part["_unit_source"]) & edge[doc_id].eqNullSafe(part["_unit_id"])).drop("_unit_source", "_unit_id")
+    others = at.filter(cell != F.col("_border")).withColumn("_part", F.when(cell < F.col("_border"), 1.0).otherwise(0.0))
+    return others.unionByName(edge).drop("_u", "_source", "_rest", "_border", "_before")
+
+
+def taken() -> Column:
+    return (F.col("_whole") * F.col("_size") + F.round(F.col("_part") * F.col("_size"))).cast("bigint")
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
+    """(doc_id, size, source, source_size, target, taken) of every row of ``docs``."""
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    return mixed(narrow, **how).select("doc_id", F.col("_size").alias("size"), "source", F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken().alias("taken"))
+
+
+def repeated(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as the mix takes it. The partial
+    repetition of a border document has its first words, joined by single spaces, and ``n_chars`` follows."""
+    rows = mixed(docs, **how)
+    copies = (F.col("_whole") + (F.col("_part") > 0).cast("bigint")).cast("int")
+    out = rows.filter(copies > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
+    cut = (F.col("_k") > F.col("_whole")) & (F.col("_part") < 1)
+    words = F.round(F.col("_part") * F.col("_size")).cast("int")
+    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
+    out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)

@@ -204,3 +204,16 @@ def scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     out = narrow.mapInArrow(score, "doc_id bigint, score double")
     return out.select("doc_id", held_out("doc_id", FOLDS, FOLD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class: int = PER_CLASS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches the threshold."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, per_class))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in batches:
+            yield b.filter(pa.array([m.score(t) >= threshold for t in utf8(b.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

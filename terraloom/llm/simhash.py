@@ -107,15 +107,35 @@ def links(fps: DataFrame) -> DataFrame:
     return met.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``."""
-    prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
+def _labels(prints: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comp = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
     joined = nodes.join(comp, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = joined.select("fp", "root").join(ids, "root").select("fp", "component_id")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return joined.select("fp", "root").join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) of every row of ``docs``."""
+    prints = stored(fingerprints(docs, doc_id, text), "fingerprints")
+    return prints.join(_labels(prints).drop("root"), "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay when one document of each component does: the
+    one with the smallest doc_id. Of rows that repeat this id one stays; a row without an id stays only
+    if no row of its component has one, and then one such row does."""
+    prints = stored(fingerprints(docs), "fingerprints")
+    labels = stored(_labels(prints), "labels")
+    stay = labels.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    if prints.filter("doc_id IS NULL").limit(1).count() == 0:
+        return kept.select(docs.columns)
+    unnamed = labels.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
+    nameless = docs.filter("doc_id IS NULL").withColumn("_no", F.monotonically_increasing_id())
+    firsts = fingerprints(nameless, "_no").join(unnamed, "fp").groupBy("fp").agg(F.min("doc_id").alias("_no")).select("_no")
+    return kept.select(docs.columns).unionByName(nameless.join(firsts, "_no", "left_semi").select(docs.columns))
 
 
 def as_hex(fp: str | Column) -> Column:
