@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, quality, simhash, tokencount, toxicity
+from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, quality, simhash, tokencount, toxicity
 from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_main_text")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
