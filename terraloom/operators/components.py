@@ -51,7 +51,7 @@ def _round(e: DataFrame, keys: list[str]) -> DataFrame:
     return keep.unionByName(push).distinct()
 
 
-def label(mask_px: DataFrame, keys: list[str], mask: str = "mask", max_rounds: int = 64) -> DataFrame:
+def label(mask_px: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
     """Foreground pixels with ``comp``, the number of their component (its smallest run).
 
     Alternating large-star / small-star contraction on the graph of runs. Each round is
@@ -65,16 +65,10 @@ def label(mask_px: DataFrame, keys: list[str], mask: str = "mask", max_rounds: i
         h = F.xxhash64(*d.columns).cast("decimal(38,0)")
         return tuple(d.agg(F.count(F.lit(1)), F.sum(h)).first())
 
-    seen = digest(e)
-    done = seen[0] == 0
-    for _ in range(max_rounds):
-        if done:
-            break
+    seen, now = None, digest(e)
+    while now != seen and now[0]:
         e = cut_lineage(_round(e, keys))
-        now = digest(e)
-        done, seen = now == seen, now
-    if not done:
-        raise RuntimeError("component labelling did not settle")
+        seen, now = now, digest(e)
     root = e.select(*keys, F.col("a").alias("node"), F.col("b").alias("_c"))
     return runs.join(root, [*keys, "node"], "left").select(*keys, "y", "x", F.coalesce("_c", "node").alias("comp"))
 

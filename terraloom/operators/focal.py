@@ -31,10 +31,15 @@ def _padded(px: DataFrame, keys: list[str], axis: str, radius: int, border: str)
     d = px.withColumn("_last", last)
     end = F.col("_last")
     if border == "reflect":
-        copies = F.array(
-            F.when((a >= 1) & (a <= radius), -a), F.when((a <= end - 1) & (a >= end - radius), 2 * end - a), a
-        )
-        at = F.explode(F.array_compact(copies))
+        near = F.array_compact(F.array(F.when((a >= 1) & (a <= radius), -a), F.when((a <= end - 1) & (a >= end - radius), 2 * end - a), a))
+        # a reach beyond the whole line: mirrored again and again with the period 2 * end
+        times = F.ceil((radius + end) / F.greatest(2 * end, F.lit(1))).cast("int")
+        shifts = F.sequence(-times, times)
+        both = F.concat(F.transform(shifts, lambda k: a + 2 * k * end), F.transform(shifts, lambda k: 2 * k * end - a))
+        far = F.array_distinct(F.filter(both, lambda p: (p >= -radius) & (p <= end + radius)))
+        alone = F.sequence(F.lit(-radius), F.lit(radius))
+        kind = f"array<{px.schema[axis].dataType.simpleString()}>"
+        at = F.explode(F.when(end == 0, alone.cast(kind)).when(end >= radius, near.cast(kind)).otherwise(far.cast(kind)))
     else:
         low = F.when(a == 0, F.sequence(F.lit(-radius), F.lit(-1))).otherwise(F.array().cast("array<int>"))
         high = F.when(a == end, F.sequence((end + 1).cast("int"), (end + radius).cast("int"))).otherwise(F.array().cast("array<int>"))

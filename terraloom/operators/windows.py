@@ -130,8 +130,13 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     """Latest-wins view. The newest row is picked by a ``max`` aggregate (partial before
     the shuffle), so a key with very many versions never gathers in one task."""
     rest = [c for c in df.columns if c not in keys]
-    ranked = df.groupBy(*keys).agg(F.max(F.struct(F.struct(*order).alias("_o"), F.struct(*rest).alias("_r"))).alias("_m"))
-    return ranked.select(*keys, "_m._r.*")
+    newest = F.max_by(F.struct(*rest), F.struct(F.struct(*order), F.struct(F.lit(0), *comparable(df, rest)))).alias("_m")
+    return df.groupBy(*keys).agg(newest).select(*keys, "_m.*")
+
+
+def comparable(df: DataFrame, columns: list[str]) -> list[str]:
+    """Those of the columns that can be ordered, to break ties; maps cannot, at any depth."""
+    return [c for c in columns if not any(t in df.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
 
 
 def time_split(df: DataFrame, keys: list[str], holdout_years: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terraloom.functions.calendar import daily_normals
+from terraloom.functions.calendar import daily_normals, refresh_window
 from terraloom.operators import anomaly as an
 from terraloom.operators import catalog as ct
 from terraloom.operators import climatology as cl
@@ -13,6 +13,9 @@ from terraloom.operators import grid as gr
 from terraloom.operators import grid_forecast as gf
 from terraloom.plans.registry import query
 from terraloom.plans.shape import i, r, s, shared
+from terraloom.session import scratch_path
+from terraloom.sources import readers as rd
+from terraloom.sources import sinks as sk
 from terraloom.sources import tables as tb
 
 K = ["source"]
@@ -46,6 +49,25 @@ def grid_mean_field(spark, sf):
     return cl.field_mean(tb.grid_events(spark, sf), K).select("source", r("lat"), r("lon"), r("value"))
 
 
+@query(
+    "grid_refresh",
+    f"""WITH {tb.GRID_EVENTS}, e AS (SELECT max(obs_date) - 3 AS b FROM grid_events),
+    m AS (SELECT source, obs_date, value + CASE WHEN obs_date >= b - 10 THEN 1 ELSE 0 END AS value FROM grid_events, e WHERE obs_date <= b)
+    SELECT source, CAST(obs_date AS VARCHAR) AS day, count(*) AS n, round(sum(value), 3) AS total FROM m GROUP BY 1, 2""",
+)
+def grid_refresh(spark, sf):
+    """A grid stored up to five days before the end, the trailing window pulled later (here: one higher),
+    and both read as one."""
+    g = tb.grid_events(spark, sf).select("source", F.lit("rain").alias("var"), F.lit("all").alias("region"), "obs_date", "lat", "lon", "value")
+    path = scratch_path(spark, "grid")
+    start, end = refresh_window(F.max("obs_date"), days=10)
+    a, b = g.agg(start, end).first()
+    sk.write_grid(g.filter(F.col("obs_date") <= F.date_sub(F.lit(b), 5)), path)
+    sk.write_grid(g.filter(F.col("obs_date").between(a, b)).withColumn("value", F.col("value") + 1), path)
+    d = rd.read_grid(spark, path, "rain", "all", "00010101", "99991231")
+    return d.groupBy("source", F.col("obs_date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3, "total"))
+
+
 @query(
     "field_stats",
     f"""WITH {tb.GRID_EVENTS}, m AS (SELECT source, lat, lon, avg(value) AS value FROM grid_events GROUP BY 1, 2, 3),
@@ -235,9 +257,11 @@ seg AS (SELECT lat, lon, mid AS a, value AS va, lead(mid) OVER w AS b, lead(valu
 normals AS (SELECT lat, lon, d.range AS doy, va + (vb - va) * (d.range - a) / (b - a) AS normal FROM seg JOIN range(1, 367) d ON d.range >= a AND d.range < b),
 an AS (SELECT g.lat, g.lon, g.obs_date, g.value - n.normal AS anom, date_diff('day', DATE '1970-01-01', g.obs_date) AS t FROM grid_ship g JOIN normals n ON n.lat = g.lat AND n.lon = g.lon AND n.doy = dayofyear(g.obs_date)),
 sp AS (SELECT min(t) AS t0, max(t) - min(t) + 1 AS n FROM an),
+past AS (SELECT lat, lon, t, anom, avg(anom) OVER (c RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS s1, avg(anom) OVER (c RANGE BETWEEN 5 PRECEDING AND 3 PRECEDING) AS s3,
+    avg(anom) OVER (c RANGE BETWEEN 9 PRECEDING AND 7 PRECEDING) AS s7, avg(anom) OVER (c RANGE BETWEEN 16 PRECEDING AND 14 PRECEDING) AS s14 FROM an WINDOW c AS (PARTITION BY lat, lon ORDER BY t)),
 rws AS (SELECT y.lat, y.lon, y.t, l AS lead, y.t - t0 - l AS issue, y.t - t0 - l < floor(n * 0.75) AS fit, y.anom AS y,
-    coalesce((SELECT avg(p.anom) FROM an p WHERE p.lat = y.lat AND p.lon = y.lon AND p.t BETWEEN y.t - l - 2 AND y.t - l), 0) AS s
-  FROM an y CROSS JOIN sp CROSS JOIN (VALUES (1), (3), (7), (14)) v(l) WHERE y.t - t0 - l >= 3 AND (y.t - t0 - l - 3) % 2 = 0),
+    coalesce(CASE l WHEN 1 THEN s1 WHEN 3 THEN s3 WHEN 7 THEN s7 ELSE s14 END, 0) AS s
+  FROM past y CROSS JOIN sp CROSS JOIN (VALUES (1), (3), (7), (14)) v(l) WHERE y.t - t0 - l >= 3 AND (y.t - t0 - l - 3) % 2 = 0),
 ph AS (SELECT lead, greatest(0, least(1, sum(s * y) / (sum(s * s) + 1e-9))) AS phi FROM rws WHERE fit GROUP BY lead)"""
 
 

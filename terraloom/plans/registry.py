@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terraloom.session import fit_local
-
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -19,15 +16,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-
-        @wraps(fn)
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            fit_local(spark)
-            return fn(spark, sf_dir)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             ORACLES[name] = sql
-        return run
+        return fn
 
     return add

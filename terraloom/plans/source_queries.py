@@ -121,12 +121,12 @@ def weather_feed(spark, sf):
 
 @query(
     "news_merge",
-    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, substring(text, 1, 30) AS title, source, 'img' || CAST(doc_id AS VARCHAR) AS image FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS provider, text AS title, source, 'img' || CAST(doc_id AS VARCHAR) AS image FROM documents""",
 )
 def news_merge(spark, sf):
     """Articles in the two providers' shapes, brought to one."""
     d = tb.table(spark, sf, "documents")
-    title, image = F.substring("text", 1, 30).alias("title"), F.concat(F.lit("img"), F.col("doc_id").cast("string"))
+    title, image = F.col("text").alias("title"), F.concat(F.lit("img"), F.col("doc_id").cast("string"))
     src = F.struct(F.col("source").alias("name")).alias("source")
 
     def payload(field: str):

@@ -18,7 +18,7 @@ WM = "wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY AS wm F
 
 def events(spark, sf):
     schema = tb.table(spark, sf, "events").schema
-    return fd.landed(spark, sf, schema, "ts", glob="events.parquet", max_files=16)
+    return fd.landed(spark, f"{sf}/events.parquet", schema, "ts", max_files=16)
 
 
 @query(
@@ -107,9 +107,14 @@ def stream_rate_limit(spark, sf):
     return d.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), i("n"))
 
 
-@query("stream_alert_dedupe")
+@query(
+    "stream_alert_dedupe",
+    """WITH a AS (SELECT user_id, event_type, ts, time_bucket(INTERVAL '3 hours', ts, TIMESTAMP '2024-01-01') AS slot FROM events WHERE value > 100),
+    wm AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 3 DAY AS wm FROM a)
+    SELECT user_id, event_type, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, count(*) AS n FROM a, wm GROUP BY user_id, event_type, slot, wm HAVING slot + INTERVAL 3 HOUR <= wm""",
+)
 def stream_alert_dedupe(spark, sf):
-    """Alerts per (user, type), repeated ones dropped within the horizon (order-dependent)."""
-    alerts = events(spark, sf).filter(F.col("value") > 100).select("user_id", "event_type", "ts", "value")
-    d = fd.drain(fd.deduplicated(alerts, ["user_id", "event_type"]), "alerts")
-    return d.select("user_id", "event_type", s("ts"))
+    """Alerts per (user, type): the first of each three-hour slot."""
+    alerts = events(spark, sf).filter(F.col("value") > 100).select("user_id", "event_type", "ts")
+    d = fd.drain(fd.first_in_slot(alerts, ["user_id", "event_type"]), "alerts")
+    return d.select("user_id", "event_type", F.date_format("first", "yyyy-MM-dd HH:mm:ss").alias("first"), "n")

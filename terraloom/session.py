@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -29,23 +31,35 @@ def local_session(cpus: int | str = 8, app: str = "terraloom") -> SparkSession:
     return spark
 
 
-def fit_local(spark: SparkSession) -> None:
-    """On a local master that leaves the shuffle partitions at Spark's default, use one per
-    thread. A cluster's setting is never touched."""
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers, once per application, so that functions
+    find them wherever the driver was started (what ``--py-files`` does)."""
     sc = spark.sparkContext
-    key = "spark.sql.shuffle.partitions"
-    if sc.master.startswith("local") and not sc.getConf().contains(key) and spark.conf.get(key) == "200":
-        spark.conf.set(key, str(max(4, sc.defaultParallelism)))
+    if getattr(sc, "_terraloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="package-"), "terraloom.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._terraloom_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a fresh folder is made, and it
-    is remembered in the session so that later calls agree.
+    Only where the session names none and runs in one process (local tests) a fresh folder is
+    made, and it is remembered in the session so that later calls agree. On a cluster there is
+    no folder that could be guessed: it has to be named.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("name a folder that all machines share in spark.checkpoint.dir")
         path = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

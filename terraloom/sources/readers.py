@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terraloom import schemas as sch
 from terraloom.functions.numeric import finite, sentinel_to_null
@@ -92,10 +93,18 @@ def parse_archive(payloads: DataFrame, cells: DataFrame, variable: str, keys: li
 
 
 def read_grid(spark: SparkSession, path: str, var: str, region: str, start: str, end: str) -> DataFrame:
-    """Partition-pruned scan of stored fields between two yyyyMMdd days."""
-    g = spark.read.schema(sch.GRID_OBS).parquet(path)
-    return g.filter((F.col("var") == var) & (F.col("region") == region) & F.col("obs_date").between(
-        F.to_date(F.lit(start), "yyyyMMdd"), F.to_date(F.lit(end), "yyyyMMdd")))
+    """Partition-pruned scan of stored fields between two yyyyMMdd days.
+
+    Where the periods of stored sets overlap, a day comes from the set that ends last (then starts
+    last): the trailing window that was refreshed last.
+    """
+    g = spark.read.schema(T.StructType([*sch.GRID_OBS.fields, T.StructField("period", T.StringType())])).parquet(path)
+    first, last = F.substring_index("period", "_", 1), F.substring_index("period", "_", -1)
+    g = g.filter((F.col("var") == var) & (F.col("region") == region) & (first <= end) & (last >= start)).filter(
+        F.col("obs_date").between(F.to_date(F.lit(start), "yyyyMMdd"), F.to_date(F.lit(end), "yyyyMMdd"))
+    )
+    newest = g.groupBy("source", "obs_date").agg(F.max_by("period", F.struct(last, first)).alias("period"))
+    return g.join(newest, ["source", "obs_date", "period"], "left_semi").drop("period")
 
 
 def concat_chunks(chunks: list[DataFrame]) -> DataFrame:

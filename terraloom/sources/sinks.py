@@ -15,14 +15,22 @@ GRID_KEYS = ["source", "var", "region"]
 
 
 def write_grid(grid: DataFrame, path: str) -> None:
-    """Store fields by source, variable, region; only the partitions present are replaced.
+    """Store fields as one set per source, variable, region and period (first and last day); only a set of
+    the same period is replaced, so a later window leaves the earlier days as they are.
 
-    Rows are spread by partition and month first, so that a large partition is written by
-    many tasks and holds files of moderate size.
+    Rows are spread by set and month first, so that a large set is written by many tasks and
+    holds files of moderate size.
     """
-    month = F.date_format("obs_date", "yyyyMM") if "obs_date" in grid.columns else F.col("month").cast("string")
-    out = grid.repartition(*[F.col(k) for k in GRID_KEYS], month)
-    out.write.partitionBy(*GRID_KEYS).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    dated = "obs_date" in grid.columns
+    month = F.date_format("obs_date", "yyyyMM") if dated else F.col("month").cast("string")
+    if dated:
+        day = lambda c: F.date_format(c, "yyyyMMdd")
+        period = grid.groupBy(*GRID_KEYS).agg(F.concat_ws("_", day(F.min("obs_date")), day(F.max("obs_date"))).alias("period"))
+        out = grid.join(period, GRID_KEYS)
+    else:
+        out = grid.withColumn("period", F.lit("clim"))
+    out = out.repartition(*[F.col(k) for k in [*GRID_KEYS, "period"]], month)
+    out.write.partitionBy(*GRID_KEYS, "period").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
 def catalogue_entries(grid: DataFrame, created_at: str, climatology: bool = False) -> DataFrame:

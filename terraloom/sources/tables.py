@@ -219,7 +219,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEWS = """news AS (
-  SELECT doc_id AS position, substring(text, 1, 14) AS title,
+  SELECT doc_id AS position, split_part(text, chr(10), 1) AS title,
          CASE WHEN n_chars % 11 > 0 THEN 'doc://' || CAST(doc_id AS VARCHAR) END AS url, source
   FROM documents)"""
 
@@ -228,7 +228,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("position"),
-        F.substring("text", 1, 14).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.when(F.pmod("n_chars", F.lit(11)) > 0, F.concat(F.lit("doc://"), F.col("doc_id").cast("string"))).alias("url"),
         "source",
     )

@@ -16,17 +16,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from terraloom.functions.calendar import capped_doy
+from terraloom.operators.windows import latest_by_key
 from terraloom.session import scratch_path
 
 LATENCY = "3 days"  # fixed value: how late observations may arrive
 
 
-def landed(spark: SparkSession, path: str, schema: StructType, time_col: str, glob: str | None = None, max_files: int | None = None) -> DataFrame:
-    """File stream with an event-time column ``ts`` (zone-less times are read in the session
-    zone, UTC). ``max_files`` bounds a micro-batch."""
+def landed(spark: SparkSession, path: str, schema: StructType, time_col: str, max_files: int | None = None) -> DataFrame:
+    """Stream over a table, be it one file or a folder of part files, with an event-time column
+    ``ts`` (zone-less times are read in the session zone, UTC). ``max_files`` bounds a micro-batch.
+
+    The path goes to the source as a pattern that only it matches: a stream takes a plain path for
+    a folder, a pattern for whatever it finds.
+    """
+    path = path.rstrip("/")
+    path = f"{path[:-1]}[{path[-1]}]"
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path).withColumn("ts", F.col(time_col).cast("timestamp"))
@@ -58,9 +63,11 @@ def latest_per_station(stream: DataFrame, keys: list[str], value: str, ttl: str
     return agg.select(F.col("window.start").alias("slot"), *keys, "as_of", "latest")
 
 
-def deduplicated(stream: DataFrame, keys: list[str], horizon: str = "3 hours") -> DataFrame:
-    """First alert per key within ``horizon``."""
-    return stream.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(keys)
+def first_in_slot(stream: DataFrame, keys: list[str], slot: str = "3 hours", delay: str = LATENCY) -> DataFrame:
+    """The first alert of each key in each slot of event time, and how many it stands for. A fixed rule
+    that does not depend on the order of arrival, with a partial ``min`` before the shuffle."""
+    agg = stream.withWatermark("ts", delay).groupBy(F.window("ts", slot), *keys).agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("n"))
+    return agg.select(F.col("window.start").alias("slot"), *keys, "first", "n")
 
 
 def with_anomaly(stream: DataFrame, clim: DataFrame, value: str, normal: str, keys: list[str]) -> DataFrame:
@@ -83,9 +90,7 @@ def upsert_into(path: str) -> Callable[[DataFrame, int], None]:
 def current_observations(spark: SparkSession, path: str, keys: list[str], order: str) -> DataFrame:
     """Latest-wins view over the upserted batches (the newer batch, then the newer row)."""
     d = spark.read.parquet(path)
-    rest = [c for c in d.columns if c not in keys]
-    newest = F.max(F.struct(F.struct("batch", order).alias("o"), F.struct(*rest).alias("r"))).alias("_m")
-    return d.groupBy(*keys).agg(newest).select(*keys, "_m.r.*").drop("batch")
+    return latest_by_key(d, keys, [F.col("batch"), F.col(order)]).drop("batch")
 
 
 # --------------------------------------------------------------------------- limiter

@@ -31,13 +31,13 @@ def grid_of(df, name, shape):
     return out
 
 
-@pytest.mark.parametrize("size", [3, 5])
-def test_box_mean_mirrors_the_border(spark, size):
-    a = np.random.default_rng(0).normal(size=(7, 7))
-    r = size // 2
-    pad = np.pad(a, r, mode="reflect")
-    want = np.array([[pad[i : i + size, j : j + size].mean() for j in range(7)] for i in range(7)])
-    got = grid_of(fo.box_mean(raster(spark, a), K, ["m"], size), "m", (7, 7))
+@pytest.mark.parametrize("size, shape", [(3, (7, 7)), (5, (7, 7)), (13, (7, 5)), (15, (7, 7)), (41, (7, 4)), (9, (1, 6)), (7, (1, 1))])
+def test_box_mean_mirrors_the_border(spark, size, shape):
+    """Also where the box is wider than the scene: mirrored as often as it takes."""
+    a = np.random.default_rng(0).normal(size=shape)
+    pad = np.pad(a, size // 2, mode="reflect")
+    want = np.array([[pad[i : i + size, j : j + size].mean() for j in range(shape[1])] for i in range(shape[0])])
+    got = grid_of(fo.box_mean(raster(spark, a), K, ["m"], size), "m", shape)
     assert np.allclose(got, want)
 
 

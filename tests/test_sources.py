@@ -166,7 +166,12 @@ def test_grid_sink_replaces_only_its_partitions(spark, tmp_path):
     sk.write_grid(grid(spark, "b", dt.date(2024, 2, 1), 5.0), p)
     assert rd.read_grid(spark, p, "rain", "a", "20240101", "20240131").count() == 3
     b = rd.read_grid(spark, p, "rain", "b", "20240101", "20241231").collect()
-    assert len(b) == 3 and b[0].value == 5.0
+    assert sorted(r.value for r in b) == [2.0] * 3 + [5.0] * 3
+    sk.write_grid(grid(spark, "b", dt.date(2024, 2, 1), 6.0), p)  # the same period again: replaced
+    late = grid(spark, "b", dt.date(2024, 2, 1), 7.0).unionByName(grid(spark, "b", dt.date(2024, 2, 2), 8.0))
+    assert sorted({r.value for r in rd.read_grid(spark, p, "rain", "b", "20240101", "20241231").collect()}) == [2.0, 6.0]
+    sk.write_grid(late, p)  # an overlapping later window: its days win
+    assert sorted({r.value for r in rd.read_grid(spark, p, "rain", "b", "20240101", "20241231").collect()}) == [2.0, 7.0, 8.0]
     plan = rd.read_grid(spark, p, "rain", "b", "20240101", "20241231")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "region" in plan
 
@@ -192,6 +197,9 @@ def test_document_log(spark, tmp_path):
     sk.append_documents(mk([("a", 2, "z")]), p)
     sk.append_documents(mk([("b", 2, None)]), p, deleted=True)
     assert [(r.id, r.v) for r in sk.current_documents(spark, p).collect()] == [("a", "z")]
+    maps = str(tmp_path / "maps")
+    sk.append_documents(spark.createDataFrame([("a", 1, {"x": 1.0}), ("a", 2, {"x": 2.0})], "id string, seq int, land_cover map<string,double>"), maps)
+    assert [r.land_cover for r in sk.current_documents(spark, maps).collect()] == [{"x": 2.0}]
     k = spark.createDataFrame([("", "e@x"), ("i", "e"), (None, None)], "id string, email string").select(dc.document_key(F.col("id"), F.col("email"))).collect()
     assert [r[0] for r in k][:2] == ["e@x", "i"] and len(k[2][0]) == 36
 
