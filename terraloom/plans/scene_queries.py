@@ -438,23 +438,27 @@ def blob_boxes(spark, sf):
 def objects(spark, sf):
     """Objects of every rule; compared with a brute-force flood fill in the tests."""
     px = shared(sp.with_channels(tiles(spark, sf)).withColumn("grey", sp.grey(F.col("r"), F.col("g"), F.col("b"))))
-    return co.area_objects(px, K).unionByName(co.road_objects(px, K, line=9))
+    return co.area_objects(px, K).unionByName(co.road_objects(px, K))
 
 
 @query("texture_segment")
 def texture_segment(spark, sf):
     px = shared(rgb(spark, sf))
-    s = sc.scene_summary(shared(sc.texture_segment(px, window=11)))
+    s = sc.scene_summary(shared(sc.texture_segment(px)))
     return s.select("scene_id", *[F.col(c).alias(c.lower()) for c in CLASSES], "confidence")
 
 
 @query("hybrid_segment")
 def hybrid_segment(spark, sf):
-    """Model probabilities: a softmax over the tile's first ten numbers (one vector = tile)."""
-    e = tb.raster(spark, sf)
-    p = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.when(k == F.col("label"), F.lit(0.55)).otherwise(F.lit(0.05)))
-    px = shared(e.withColumnsRenamed({"b0": "r", "b1": "g", "b2": "b"}).withColumn("p10", p))
-    pct = sc.class_percentages(sc.hybrid_segment(px, texture=5, near=9, street=7, region=31))
+    """Model probabilities: a softmax over the tile's first ten numbers (one vector = one tile)."""
+    v = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(8 * x.cast("double")))
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    vec = tb.table(spark, sf, "embeddings").select(
+        F.floor(F.col("vec_id") / 100).alias("scene_id"), F.floor(F.pmod("vec_id", F.lit(100)) / 10).alias("_ty"), F.pmod("vec_id", F.lit(10)).alias("_tx"),
+        F.transform(v, lambda x: x / total).alias("p10"),
+    )
+    px = rgb(spark, sf).withColumns({"_ty": F.floor(F.col("y") / 4), "_tx": F.floor(F.col("x") / 4).cast("bigint")})
+    pct = sc.class_percentages(sc.hybrid_segment(px.join(vec, ["scene_id", "_ty", "_tx"]).drop("_ty", "_tx")))
     return pct.select("scene_id", *[F.col(c).alias(c.lower()) for c in CLASSES])
 
 

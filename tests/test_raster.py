@@ -275,3 +275,55 @@ def test_split_counts(spark):
         t = 37 + 10 * c
         assert n[(c, "train")] == int(0.8 * t) and n[(c, "val")] == int(0.1 * t)
     assert a.exceptAll(sc.stratified_split(df, "cls", "i")).count() == 0
+
+
+def test_rule_tables_hold_as_written(spark):
+    """Masks, colour classes and surfaces against a plain reading of the tables."""
+    import operator
+
+    rnd = np.random.default_rng(12)
+    rows = np.round(rnd.uniform(size=(600, 3)), 3)
+    rows[:200] = np.round(rows[:200] * 0.1 + rows[:200, :1] * 0.9, 3)  # near grey
+    df = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(rows)], "i int, r double, g double, b double")
+    ops = {">": operator.gt, "<": operator.lt, ">=": operator.ge}
+
+    def shown(r, g, b):
+        top, low = max(r, g, b), min(r, g, b)
+        return {
+            "r": r, "g": g, "b": b, "r-g": r - g, "r-b": r - b, "g-b": g - b, "g-r": g - r, "b-r": b - r, "b-g": b - g, "|r-g|": abs(r - g), "|r-b|": abs(r - b), "max": top, "vmax": top,
+            "min rg - b": min(r, g) - b, "b - min rg": b - min(r, g), "hsv sat": (top - low) / top if top else 0.0, "bright": (r + g + b) / 3, "sat": (top - low) / (top + 1e-6),
+            "exg": 2 * g - r - b, "blue": b - (r + g) / 2, "het": 0.3,
+        }
+
+    ok = lambda e, tests: all(ops[o](e[n], v) for n, o, v in tests)
+    masks = sp.with_disaster_masks(df).withColumn("het", F.lit(0.3))
+    cls, built = sc.surface_class(sc.scene_evidence(masks))
+    got = masks.withColumns({"cls": cls, "built": built, "colour": sp.colour_class(F.col("r"), F.col("g"), F.col("b"))}).collect()
+    for x in got:
+        e = shown(*rows[x.i])
+        first = {m: any(ok(e, t) for t in rules) for m, (rules, _) in sp.MASK_RULES.items()}
+        assert all(x[m] == (first[m] and not any(first[u] for u in unless)) for m, (_, unless) in sp.MASK_RULES.items())
+        assert x.colour == next((c for c, t in sp.COLOUR_RULES if ok(e, t)), "Others")
+        s = {k: ok(e, t) for k, t in sc.SURFACES.items()}
+        soft, white = s["vegetation"], s["bright white"] and not s["vegetation"]
+        wet = s["blue"] and not soft and not white
+        assert x.cls == sp.CODE["Water" if wet else "Forest" if s["forest"] else "Agriculture" if soft else "Others"]
+        assert x.built == ((s["grey"] or s["red roof"]) and not s["brown soil"] and s["mid light"] and s["rough"] and not (wet or soft or white))
+
+
+def test_guards_one_by_one(spark):
+    """The model's choice gives way where water or town cannot be."""
+    fine = lambda **k: [k.get(n, 0.0) for n in sp.FINE]
+    base = {"r": 0.3, "g": 0.3, "b": 0.3, "het": 0.1, "snow": False, "snow_near": False}
+    water, town, works = fine(River=0.6, Forest=0.3), fine(Residential=0.6, Pasture=0.3), fine(Industrial=0.6, Forest=0.3)
+    cases = [
+        ({}, water, "Water"), ({"het": 0.2}, water, "Forest"), ({"r": 0.7}, water, "Forest"), ({"snow": True}, water, "Forest"),
+        ({}, town, "Urban"), ({"het": 0.01}, town, "Agriculture"), ({"g": 0.5}, town, "Agriculture"), ({"snow_near": True}, town, "Urban"), ({"snow_near": True}, works, "Forest"),
+    ]
+    rows = [tuple({**base, **c}.values()) + (p, want) for c, p, want in cases]
+    df = spark.createDataFrame(rows, "r double, g double, b double, het double, snow boolean, snow_near boolean, p10 array<double>, want string")
+    got = sc.with_guarded_choice(sp.with_channels(df).withColumn("p5", sp.project(F.col("p10")))).collect()
+    assert [(x.cls, x.want) for x in got] == [(sp.CODE[x.want], x.want) for x in got]
+    leafy = {"green": False, "canopy": False, "snow": False, "scene_id": 0}
+    grey = rgb(spark, {0: np.full((6, 6, 3), 0.5)}).withColumns({k: F.lit(v) for k, v in leafy.items()}).withColumn("cls", F.lit(sp.CODE["Agriculture"]))
+    assert {x.cls for x in sc.with_bare_ground(sp.with_channels(grey), K, 5).collect()} == {sp.CODE["Others"]}
