@@ -37,7 +37,7 @@ def target_grid(spark: SparkSession, bbox: tuple[float, float, float, float], re
 
 def nearest_cells(points: DataFrame, grid_axes: DataFrame, keys: list[str]) -> DataFrame:
     """Points with the coordinates of their nearest cell (each axis on its own)."""
-    return points.join(F.broadcast(grid_axes), keys).withColumns(
+    return points.join(grid_axes, keys).withColumns(
         {"cell_lat": nearest_on_axis(F.col("lats"), F.col("lat")), "cell_lon": nearest_on_axis(F.col("lons"), F.col("lon"))}
     ).drop("lats", "lons")
 
@@ -106,8 +106,8 @@ def regrid_bilinear(
     w = F.col("w_lat") * F.col("w_lon")
     summed = (
         grid.filter(F.col("value").isNotNull())
-        .join(F.broadcast(lat_b), [*axis_keys, "lat"])
-        .join(F.broadcast(lon_b), [*axis_keys, "lon"])
+        .join(lat_b, [*axis_keys, "lat"])
+        .join(lon_b, [*axis_keys, "lon"])
         .groupBy(*row_keys, F.col("t_lat").alias("_a"), F.col("t_lon").alias("_o"))
         .agg(F.sum(w * F.col("value")).alias("_v"), F.sum(w).alias("_w"))
     )
@@ -123,7 +123,7 @@ def thin(field: DataFrame, keys: list[str], max_cells: int = 28) -> DataFrame:
     The rank of a coordinate is its position on the axis array; no window is needed.
     """
     a = axes(field, keys)
-    j = field.join(F.broadcast(a), keys)
+    j = field.join(a, keys)
 
     def keep(axis: str, x: str) -> Column:
         step = F.greatest(F.lit(1), F.floor(F.size(axis) / max_cells))
@@ -135,10 +135,10 @@ def thin(field: DataFrame, keys: list[str], max_cells: int = 28) -> DataFrame:
 def within_radius(points: DataFrame, grid_axes: DataFrame, keys: list[str], radius: float) -> DataFrame:
     """Point x cell pairs closer than ``radius`` degrees, with ``dist2``.
 
-    A point reaches a bounded number of cells, which are read off the broadcast axes; so
+    A point reaches a bounded number of cells, which are read off the axis arrays; so
     the work is linear in the points and no bucket of points is ever joined as a whole.
     """
-    j = points.join(F.broadcast(grid_axes), keys)
+    j = points.join(grid_axes, keys)
     near = lambda axis, x: F.filter(axis, lambda a: F.abs(a - F.col(x)) <= radius)
     j = j.withColumn("g_lat", F.explode(near("lats", "lat"))).withColumn("g_lon", F.explode(near("lons", "lon")))
     d2 = F.pow(F.col("g_lat") - F.col("lat"), 2) + F.pow(F.col("g_lon") - F.col("lon"), 2)
@@ -160,6 +160,6 @@ def normalised_coordinates(field: DataFrame, keys: list[str]) -> DataFrame:
     a = axes(field, keys)
     mean = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x) / F.size(c)
     centred = a.select(*keys, mean(F.col("lats")).alias("_mlat"), mean(F.col("lons")).alias("_mlon"))
-    return field.join(F.broadcast(centred), keys).withColumns(
+    return field.join(centred, keys).withColumns(
         {"nlat": (F.col("lat") - F.col("_mlat")) / 5.0, "nlon": (F.col("lon") - F.col("_mlon")) / 5.0}
     ).drop("_mlat", "_mlon")

@@ -6,14 +6,18 @@ as a whole. Downloads are not part of the library; payloads are files or text co
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terraloom import schemas as sch
 from terraloom.functions.numeric import finite, sentinel_to_null
+from terraloom.session import ship_package
 
 
 # --------------------------------------------------------------------------- daily records
@@ -160,11 +164,12 @@ def standard_coordinates(raw: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- catalogue, documents
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue entries; no rows when the file is absent or damaged."""
-    empty = spark.createDataFrame([], sch.MANIFEST_ENTRY)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
-        return empty
-    m = spark.read.schema(sch.MANIFEST).json(path, multiLine=True, mode="PERMISSIVE")
+    try:
+        m = spark.read.schema(sch.MANIFEST).json(path, multiLine=True, mode="PERMISSIVE")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], sch.MANIFEST_ENTRY)
     return m.select(F.explode("datasets").alias("d")).select("d.*")
 
 
@@ -205,25 +210,28 @@ def read_preset(spark: SparkSession, folder: str, preset_id: str) -> DataFrame:
 def read_scenes(spark: SparkSession, path: str) -> DataFrame:
     """Image files to pixels (scene_id, y, x, r, g, b in 0..1).
 
-    The source decodes to blue-green-red bytes. An image is cut into lines and a line into
-    pixels, so a row never carries more than its own part of the image.
+    The source decodes to blue-green-red bytes (one or four channels are taken as they are). An image
+    is cut into its lines of bytes, the lines are spread over the cluster, and each task decodes its
+    lines as arrays: the work is linear in the pixels and a large image is many tasks' work.
     """
+    ship_package(spark)
     img = spark.read.format("image").option("dropInvalid", True).load(path)
-    i = img.select(F.col("image.origin").alias("scene_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"),
-                   F.col("image.nChannels").alias("c"), F.hex("image.data").alias("_hex"))
-    size = F.col("w") * F.col("c") * 2
-    lines = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.substring(F.col("_hex"), y * size + 1, size))
-    i = i.select("scene_id", "w", "c", F.posexplode(lines).alias("y", "_line"))
-
-    def channel(x: Column, k: int) -> Column:
-        at = (x * F.col("c") + F.least(F.lit(k), F.col("c") - 1)) * 2 + 1
-        return F.conv(F.substring(F.col("_line"), at, F.lit(2)), 16, 10).cast("double") / 255.0
-
-    cells = F.transform(
-        F.sequence(F.lit(0), F.col("w") - 1),
-        lambda x: F.struct(channel(x, 2).alias("r"), channel(x, 1).alias("g"), channel(x, 0).alias("b")),
-    )
-    return i.select("scene_id", "y", F.posexplode(cells).alias("x", "_p")).select("scene_id", "y", "x", "_p.*")
+    i = img.select(F.col("image.origin").alias("scene_id"), F.col("image.width").alias("w"), F.col("image.height").alias("h"), F.col("image.nChannels").alias("c"), F.col("image.data").alias("_data"))
+    size = F.col("w") * F.col("c")
+    lines = F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.substring(F.col("_data"), y * size + 1, size))
+    lines = i.select("scene_id", "c", F.posexplode(lines).alias("y", "_line")).repartition("scene_id", "y")
+    return lines.select("scene_id", "y", "c", "_line").mapInArrow(_decode_lines, "scene_id string, y int, x int, r double, g double, b double")
+
+
+def _decode_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One output batch for each line of pixels."""
+    for batch in batches:
+        for scene, y, c, line in zip(*(col.to_pylist() for col in batch.columns)):
+            px = np.frombuffer(line, np.uint8).reshape(-1, c)
+            n = len(px)
+            channels = [pa.array(px[:, min(k, c - 1)] / 255.0) for k in (2, 1, 0)]
+            cols = [pa.array([scene] * n, pa.string()), pa.array(np.full(n, y, np.int32)), pa.array(np.arange(n, dtype=np.int32)), *channels]
+            yield pa.RecordBatch.from_arrays(cols, names=["scene_id", "y", "x", "r", "g", "b"])
 
 
 def read_labelled_tiles(spark: SparkSession, path: str) -> DataFrame:
