@@ -153,10 +153,15 @@ def ordered_share(df: DataFrame, keys: list[str], order: str, share: float = 0.7
 
 
 def half_split(df: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
-    """``half`` = 'older' for the first floor(n/2) rows of a key, else 'newer'."""
-    d = group_rank(df, keys, order, tie, "_rank", "_n")
-    older = F.col("_rank") <= F.floor(F.col("_n") / 2)
-    return d.withColumn("half", F.when(older, "older").otherwise("newer")).drop("_rank", "_n")
+    """``half`` = 'older' for the first floor(n/2) rows of a key, else 'newer'.
+
+    Only (keys, order, tie) are ranked; the rows themselves are compared with their key's border
+    row and need neither sorting nor storing. ``tie`` tells the rows of a key apart.
+    """
+    ranked = group_rank(df.select(*keys, order, tie), keys, order, tie, "_rank", "_n")
+    border = ranked.filter(F.col("_rank") == F.floor(F.col("_n") / 2)).select(*keys, F.struct(order, tie).alias("_border"))
+    older = F.coalesce(F.struct(order, tie) <= F.col("_border"), F.lit(False))
+    return df.join(border, keys, "left").withColumn("half", F.when(older, "older").otherwise("newer")).drop("_border")
 
 
 def every_nth(df: DataFrame, keys: list[str], order: str, step: int = 2) -> DataFrame:

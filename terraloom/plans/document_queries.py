@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terraloom.operators import documents as dc
 from terraloom.plans.registry import query
-from terraloom.plans.shape import i, r, shared
+from terraloom.plans.shape import i, r
 from terraloom.schemas import CLASSES
 from terraloom.sources import tables as tb
 
@@ -33,7 +33,7 @@ def doc_land_cover(spark, sf):
     SELECT owner, {', '.join(f'round(coalesce(n.{c} - o.{c}, 0), 2) AS {c}' for c in LC)} FROM n JOIN o USING (owner)""",
 )
 def doc_land_cover_delta(spark, sf):
-    d = dc.land_cover_delta(shared(tb.docs(spark, sf)), K, "created_at", "id")
+    d = dc.land_cover_delta(tb.docs(spark, sf), K, "created_at", "id")
     return d.select("owner", *[F.col(c).alias(c.lower()) for c in CLASSES])
 
 
