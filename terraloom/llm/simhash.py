@@ -124,12 +124,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay when one document of each component does: the
-    one with the smallest doc_id. Of rows that repeat this id one stays; a row without an id stays only
+    one with the smallest doc_id. Of rows of the component that repeat this id one stays; a row without an id stays only
     if no row of its component has one, and then one such row does."""
     prints = stored(fingerprints(docs), "fingerprints")
     labels = stored(_labels(prints), "labels")
-    stay = labels.filter("component_id IS NOT NULL").select(F.col("component_id").alias("doc_id")).distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    own = prints.join(labels, "fp").filter("doc_id = component_id")
+    stay = stored(own.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")), "stay")
+    kept = docs.join(stay, "doc_id", "left_semi")
+    often = stored(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id").join(stay, "doc_id", "left_semi"), "repeated")
+    if not often.isEmpty():  # the id alone does not tell which row: its fingerprint does
+        numbered = stored(kept.join(often, "doc_id", "left_semi").withColumn("_no", F.monotonically_increasing_id()), "numbered")
+        marks = fingerprints(numbered, "_no").select(F.col("doc_id").alias("_no"), "fp").join(numbered.select("_no", "doc_id"), "_no")
+        one = marks.join(stay, ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.min("_no").alias("_no")).select("_no")
+        kept = kept.join(often, "doc_id", "left_anti").select(docs.columns).unionByName(numbered.join(one, "_no", "left_semi").select(docs.columns))
     if prints.filter("doc_id IS NULL").limit(1).count() == 0:
         return kept.select(docs.columns)
     unnamed = labels.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")

@@ -104,3 +104,11 @@ def test_hot_group_of_copies(spark):
 def test_components(spark, edges, want):
     df = spark.createDataFrame(edges, "x long, y long")
     assert {r.node: r.root for r in components(df).collect()} == want
+
+
+def test_one_of_each_keeps_a_row_of_each_component_of_a_repeated_id(spark):
+    rnd = random.Random(6)
+    a, b, c = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (4, c)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, a), (1, b), (4, c)])
