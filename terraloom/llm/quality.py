@@ -179,7 +179,9 @@ def _indices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on the labelled sample; features are made where the texts are."""
     sample = stored(labelled_sample(labels, "quality", FOLDS, FOLD, per_class), "sample")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # two times per_class rows at most
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # two times per_class ids at most
+    # one row for each id, however many share it: that with the smallest hash of its text
+    texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     got = texts.select("doc_id", "y", "text").mapInArrow(_indices, "doc_id bigint, y int, grams array<int>").toArrow()
     order = np.lexsort((np.array([len(g) for g in got["grams"]]), got["doc_id"].to_numpy()))
     rnd = np.random.default_rng(7).permutation(len(order))

@@ -52,3 +52,12 @@ def test_odd_rows(spark, labels):
     assert len(got) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
     assert [r.held_out for r in got if r.doc_id is None] == [False]
     assert quality.scores(docs.limit(0), lab).collect() == []
+
+
+def test_a_repeated_id_sends_one_row_to_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of a table") for i in range(40)] + [(k, f"copy {j} of an id") for j in range(50) for k in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, y, prior: seen.append((len(rows), len(y))))
+    quality.fit(docs, labels)
+    assert 0 < seen[0][0] == seen[0][1] <= 40
