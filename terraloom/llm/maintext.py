@@ -61,6 +61,7 @@ TAG = re.compile(
     r"|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
+IN_HEAD = {"html", "head", "title", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template"}
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKENS = re.compile(r"[a-z]+")
 
@@ -140,6 +141,12 @@ def blocks(page: str) -> list[Block]:
             if name == "a":
                 links = max(0, links - 1)
             continue
+        if name not in IN_HEAD:  # a head without an end tag ends here
+            for k, (t, _) in enumerate(stack):
+                if t == "head":
+                    flush()
+                    del stack[k:]
+                    break
         if not inline:
             closes = SIBLING.get(name, ()) + (("p",) if name not in VOID or name == "hr" else ())
             for k in range(len(stack) - 1, -1, -1):

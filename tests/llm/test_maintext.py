@@ -85,3 +85,9 @@ def test_odd_rows(spark):
     by = {r.page_id: r for r in got}
     assert (by[1].text, by[None].text, by[2].text, by[4].text) == ("", "", "x", "") and by[5].text.count("\n\n") == 19_999
     assert mt.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_head_without_end_tag_keeps_the_article():
+    page = "<html><head><title>T</title><meta charset=x>{}<article><p>One long paragraph of the article itself.</p></article></body></html>"
+    for start in ("<body>", ""):
+        assert [b.text for b in mt.blocks(page.format(start))] == ["One long paragraph of the article itself."]
