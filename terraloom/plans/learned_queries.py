@@ -44,8 +44,9 @@ def gbt_forecast(spark, sf):
 @query("unified_backtest")
 def unified_backtest(spark, sf):
     obs, clim = record(spark, sf)
-    scores, _ = le.unified_backtest(obs, clim, "tmean", le.BoostedTrees(rounds=8).fit(obs))
-    return scores.select("station", "method", i("lead"), r("rmse"), r("mae"), r("skill_pct"))
+    trees = le.BoostedTrees(rounds=8).fit(obs)
+    both = [le.unified_backtest(obs, clim, var, trees)[0].withColumn("var", F.lit(var)) for var in ("tmean", "precip")]
+    return both[0].unionByName(both[1]).select("station", "var", "method", i("lead"), r("rmse"), r("mae"), r("skill_pct"))
 
 
 @query("grid_challenger")

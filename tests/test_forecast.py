@@ -166,3 +166,10 @@ def test_outlook_and_clim_rmse(spark, world):
     r = fc.climatology_rmse(obs, clim, "tmean").first()
     assert r.n == 365 and 1 < r.rmse < 6
     assert hz.current_state(obs, clim).count() == 1
+
+
+def test_unified_backtest_scores_both_variables(spark):
+    from terraloom.plans import learned_queries as lq
+
+    got = lq.unified_backtest(spark, "/root/testdata/sf0.01").groupBy("var").agg(F.countDistinct("method").alias("n"), F.count("rmse").alias("scored")).collect()
+    assert {r["var"]: r["n"] for r in got} == {"tmean": 7, "precip": 7} and all(r["scored"] for r in got)
