@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, quality, simhash, tokencount, toxicity
+from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, quality, simhash, tokencount, toxicity, whitening
 from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
