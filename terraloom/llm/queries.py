@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, quality, simhash, tokencount, toxicity, whitening
+from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, prefixtrie, quality, simhash, tokencount, toxicity, whitening
 from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,36 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+# the CRC-32 of the decimal id, bit by bit, as the engine has no such function
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"""
+
+
+@query("op12_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, sha256(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+                  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT conv_id, g, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) AS pos FROM t),
+l AS (SELECT conv_id, count(*) AS n FROM n GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % {prefixtrie.GROUP} AS base, ({_CRC32} % {prefixtrie.MOST_SHARED + 1})::BIGINT AS h FROM l),
+k AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(l.n, 0)) AS taken FROM c LEFT JOIN l ON l.conv_id = c.base),
+r AS (SELECT k.conv_id, n.pos AS depth, g, words FROM k JOIN n ON n.conv_id = k.base AND n.pos <= k.taken
+      UNION ALL SELECT k.conv_id, taken + n.pos - h, g, words FROM k JOIN n ON n.conv_id = k.conv_id AND n.pos > h),
+p AS (SELECT conv_id, depth, words, string_agg(g, '') OVER (PARTITION BY conv_id ORDER BY depth) AS name FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+v AS (SELECT name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words FROM p GROUP BY name, depth),
+e AS (SELECT name, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max(name) AS name FROM p GROUP BY conv_id) GROUP BY name),
+u AS (SELECT left(name, 64 * (depth - 1)) AS name, count(*) AS n FROM v WHERE depth > 0 GROUP BY 1),
+f AS (SELECT v.*, coalesce(u.n, 0) AS n_children FROM v LEFT JOIN u USING (name)),
+s AS (SELECT left(name, 64 * a) AS name, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved
+      FROM (SELECT name, n_children, n_convs, words, unnest(range(0, depth + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (name) LEFT JOIN e USING (name) LEFT JOIN v q ON f.depth > 0 AND q.name = left(f.name, 64 * (f.depth - 1))
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_embedding_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
