@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import decontaminate, exactdedup, extendible, maintext, mixing, passages, prefixtrie, quality, simhash, tokencount, toxicity, whitening
+from terraloom.llm import decontaminate, exactdedup, extendible, langmodel, maintext, mixing, passages, prefixtrie, quality, simhash, tokencount, toxicity, whitening
 from terraloom.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.near_duplicate_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_lm_scores")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.scores(table(spark, sf_dir, "documents"))
+
+
 # the CRC-32 of the decimal id, bit by bit, as the engine has no such function
 _CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
     lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT)"""
