@@ -2,7 +2,7 @@
 
 Tokens are the words of a text, A-Z lower-cased and cut at white space, and one end token. Counts of all
 tokens of all training texts are gathered by partial aggregates and one exchange; the table of counts stays on
-Spark. The ``COMMON`` most frequent words of up to ``LONGEST`` bytes go to every task (a bounded table); the
+Spark. The most frequent words of up to ``LONGEST`` bytes, ``COMMON`` at most, go to every task (a bounded table); the
 other words of a text are looked up by a join with the counts.
 
 Units: the end token and the most frequent words are a unit each, all other words fall into ``CLASSES`` by their
@@ -114,7 +114,16 @@ class Vocabulary:
 
 def vocabulary(table: DataFrame, ends: int, common: int = COMMON, units: int = UNITS) -> Vocabulary:
     sums = table.groupBy(_class_column("word").alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
-    top = table.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("c"), "word").limit(common).collect()
+    # whole steps of the count, the highest first, as long as they have ``common`` words at most
+    step = F.floor(F.log2("c") * 16).cast("int")
+    short = table.filter(F.octet_length("word") <= LONGEST)
+    least, held = 1 << 30, 0
+    for r in sorted(short.groupBy(step.alias("k")).count().collect(), key=lambda r: -r.k):
+        held += r["count"]
+        if held > common:
+            break
+        least = r.k
+    top = short.filter(step >= least).collect()
     top.sort(key=lambda r: (-r.c, bytes(r.word)))
     own = units - CLASSES
     mass, size = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
