@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.operators import focal as fo
+from terraloom.operators import tiles as ti
 from terraloom.operators.spectral import CODE
 from terraloom.session import cut_lineage
 
-LINE = 1 << 31  # node number = y * LINE + first x of the run
+def _parts(fg: DataFrame, keys: list[str], tile: int) -> DataFrame:
+    """Foreground pixels with ``node``, the number of the first pixel of their part of the tile."""
+    schema = f"{ti.key_types(fg, keys)}, y bigint, x bigint, node bigint"
 
+    def work(key: tuple, rows: pa.Table) -> pa.Table:
+        y, x = (np.asarray(rows.column(c)) for c in ("y", "x"))
+        y0, x0 = y.min(), x.min()
+        mask = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), bool)
+        mask[y - y0, x - x0] = True
+        part, first = ti.united(mask)
+        number = (first // mask.shape[1] + y0) * ti.LINE + first % mask.shape[1] + x0
+        return rows.select([*keys, "y", "x"]).append_column("node", pa.array(number[part[y - y0, x - x0] - 1]))
 
-def _runs(fg: DataFrame, keys: list[str]) -> DataFrame:
-    """Pixels with the node number of their horizontal run."""
-    line = [*keys, "y"]
-    island = F.col("x") - F.row_number().over(Window.partitionBy(*line).orderBy("x"))
-    d = fg.select(*keys, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x")).withColumn("_i", island)
-    start = F.min("x").over(Window.partitionBy(*line, "_i"))
-    return d.withColumn("node", F.col("y") * F.lit(LINE) + start).drop("_i")
-
-
-def _edges(runs: DataFrame, keys: list[str]) -> DataFrame:
-    """Touching runs of adjacent lines. Pixels are matched on equal coordinates (three
-    shifted copies), which is linear in the pixels, and reduced to distinct run pairs."""
-    below = runs.select(*keys, "y", "x", F.col("node").alias("lo"))
-    up = runs.withColumn("_d", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).select(
-        *keys, (F.col("y") + 1).alias("y"), (F.col("x") + F.col("_d")).alias("x"), F.col("node").alias("hi")
-    )
-    return below.join(up, [*keys, "y", "x"]).select(
-        *keys, F.greatest("lo", "hi").alias("a"), F.least("lo", "hi").alias("b")
-    ).distinct()
+    d = fg.select(*keys, F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"))
+    return ti.with_tile(d, tile).groupBy(*keys, "ty", "tx").applyInArrow(work, schema)
 
 
 def _round(e: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,15 +47,13 @@ def _round(e: DataFrame, keys: list[str]) -> DataFrame:
     return keep.unionByName(push).distinct()
 
 
-def label(mask_px: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
-    """Foreground pixels with ``comp``, the number of their component (its smallest run).
+def roots(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, root) of every node with an edge (keys, a, b), a > b; root is the smallest node it reaches.
 
-    Alternating large-star / small-star contraction on the graph of runs. Each round is
-    written to the shared checkpoint folder, so lost executors do not restart the loop and
-    the plan does not grow; it stops when the edge set no longer changes.
+    Alternating large-star / small-star contraction. Each round is written to the shared checkpoint folder, so
+    lost executors do not restart the loop and the plan does not grow; it stops when the edge set no longer changes.
     """
-    runs = cut_lineage(_runs(mask_px.filter(F.col(mask)), keys))
-    e = cut_lineage(_edges(runs, keys))
+    e = cut_lineage(edges)
 
     def digest(d: DataFrame) -> tuple:
         h = F.xxhash64(*d.columns).cast("decimal(38,0)")
@@ -69,8 +63,19 @@ def label(mask_px: DataFrame, keys: list[str], mask: str = "mask") -> DataFrame:
     while now != seen and now[0]:
         e = cut_lineage(_round(e, keys))
         seen, now = now, digest(e)
-    root = e.select(*keys, F.col("a").alias("node"), F.col("b").alias("_c"))
-    return runs.join(root, [*keys, "node"], "left").select(*keys, "y", "x", F.coalesce("_c", "node").alias("comp"))
+    own = e.select(*keys, F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return e.select(*keys, F.col("a").alias("node"), F.col("b").alias("root")).unionByName(own)
+
+
+def label(mask_px: DataFrame, keys: list[str], mask: str = "mask", tile: int = ti.TILE) -> DataFrame:
+    """Foreground pixels with ``comp``, the number of their component (its first pixel, line by line).
+
+    Pixels are united inside their tile; only the graph of parts that touch across tile borders is contracted.
+    """
+    parts = ti.written(_parts(mask_px.filter(F.col(mask)), keys, tile), "parts")
+    rim = lambda v: (F.col(v) % tile == 0) | (F.col(v) % tile == tile - 1)
+    found = roots(ti.touching(parts.filter(rim("y") | rim("x")), keys, tile), keys)
+    return parts.join(found, [*keys, "node"], "left").select(*keys, "y", "x", F.coalesce("root", "node").alias("comp"))
 
 
 def big_regions(mask_px: DataFrame, keys: list[str], mask: str, min_frac: float) -> DataFrame:

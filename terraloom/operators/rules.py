@@ -17,11 +17,13 @@ Test = tuple[str, str, float]
 OPS = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 
 
-def holds(evidence: dict[str, Column], tests: list[Test]) -> Column:
-    return reduce(operator.and_, (OPS[op](evidence[name], F.lit(value)) for name, op, value in tests))
+def holds(evidence: dict, tests: list[Test]):
+    """Evidence is columns, or arrays of equal shape; the result is of the same kind."""
+    own = lambda name, value: F.lit(value) if isinstance(evidence[name], Column) else value
+    return reduce(operator.and_, (OPS[op](evidence[name], own(name, value)) for name, op, value in tests))
 
 
-def any_holds(evidence: dict[str, Column], rules: list[list[Test]]) -> Column:
+def any_holds(evidence: dict, rules: list[list[Test]]):
     return reduce(operator.or_, (holds(evidence, r) for r in rules))
 
 
