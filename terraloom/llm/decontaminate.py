@@ -7,10 +7,10 @@ ten characters and a text, with one filler for all other words, is a string with
 word: the automaton reads each text once, and a match's end is a word position, from which the
 word's place in the original text follows (``hit_spans``).
 
-The automaton goes to every executor, so its size is checked first: up to ``MAX_WINDOWS`` different
-windows and ``MAX_WORDS`` different words. A larger benchmark takes the second way, an equality
-join of hashed word sequences followed by a comparison of the words themselves; results are the
-same.
+The automaton goes to every executor, so its size is checked first. A benchmark with more than
+``MAX_WINDOWS`` words is cut into parts of about as many different windows, by a hash of the window; each part has
+an automaton of its own, every text is read once for each part, and the hits of a row are put together. Results
+are the same, row by row, at every size.
 
 Defined results: null and empty texts have no words and are clean; items without words have no
 window; an item with a null id cannot be named and is left out; repeated items count once; repeated
@@ -31,11 +31,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import stored, utf8
+from terraloom.llm.common import free_name, stored, utf8
 
 WIDTH = 10
 MAX_WINDOWS = 300_000
-MAX_WORDS = 500_000
 ORIGINAL = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before lower-casing
 
 #: One table for both steps: lower-case A-Z, and a space for every byte outside of words.
@@ -139,33 +138,14 @@ def _by_automaton(docs: DataFrame, items: list[tuple[int, bytes]]) -> DataFrame:
     return docs.mapInArrow(judge, OUT)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], lengths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """(id, at, n, h, words) of every word sequence of the given lengths, in bounded batches."""
-    names = ["id", "at", "n", "h", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
-    for b in batches:
-        rows: list[tuple] = []
-        for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
-            words = words_of(t)
-            for n in lengths:
-                for k in range(len(words) - n + 1):
-                    line = b" ".join(words[k : k + n])
-                    rows.append((i, k, n, xxhash.xxh64_intdigest(line) - (1 << 63), line.decode()))
-                    if len(rows) == 50_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                        rows = []
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = [
-            (i, len(w), xxhash.xxh64_intdigest(line) - (1 << 63), line.decode())
+            (i, xxhash.xxh64_intdigest(line) - (1 << 63), line.decode())
             for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))) for w in set(windows_of(words_of(t))) for line in [b" ".join(w)]
         ]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int32(), pa.int64(), pa.string()])], names=["item_id", "n", "h", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int64(), pa.int64(), pa.string()])], names=["item_id", "h", "words"])
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +153,34 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(words_of(t)) for t in utf8(b.column(2))], pa.int64())], names=["id", "doc_id", "n_words"])
 
 
-def _by_join(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def _hits_by_parts(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, at, items) of the rows (id, text) that a part of the windows hits: positions of the hit words and the items."""
+    windows = stored(items.mapInArrow(_item_windows, "item_id bigint, h bigint, words string").distinct(), "windows")
+    parts = max(1, -(-windows.count() // MAX_WINDOWS)) if MAX_WINDOWS > 0 else 3
+    found = None
+    for k in range(parts):
+        some = [(r.item_id, r.words.encode()) for r in windows.filter(F.pmod("h", F.lit(parts)) == k).select("item_id", "words").collect()]
+        shared, key = rows.sparkSession.sparkContext.broadcast(some), uuid.uuid4().hex  # about MAX_WINDOWS windows
+
+        def judge(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared, key: str = key) -> Iterator[pa.RecordBatch]:
+            m = _matcher(key, shared)
+            for b in batches:
+                hits = [(i, *m.hits(words_of(t))) for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1)))]
+                hits = [(i, at, sorted(ids)) for i, at, ids in hits if at]
+                cols = list(zip(*hits)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))], names=["id", "at", "items"])
+
+        part = stored(rows.select("id", "text").mapInArrow(judge, "id bigint, at array<bigint>, items array<bigint>"), "hits")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _by_parts(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The same result for a benchmark of any size."""
     rows = stored(docs.withColumn("id", F.monotonically_increasing_id()).select("id", "doc_id", "text"), "numbered")
-    windows = stored(bench.mapInArrow(_item_windows, "item_id bigint, n int, h bigint, words string").distinct(), "windows")
-    lengths = tuple(sorted(r.n for r in windows.select("n").distinct().collect()))  # at most ten numbers
-    at = rows.select("id", "text").mapInArrow(lambda it: _sequences(it, lengths), "id bigint, at bigint, n int, h bigint, words string")
-    keys = windows.select("n", "h", "words").distinct()
-    hit = stored(at.join(keys, ["n", "h", "words"], "left_semi"), "hits")
-    hit_words = hit.select("id", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_hit"))
-    owners = hit.select("id", "n", "h", "words").distinct().join(windows, ["n", "h", "words"]).select("id", "item_id").distinct()
-    names = owners.groupBy("id").agg(
+    hit = _hits_by_parts(rows, items)
+    hit_words = hit.select("id", F.explode("at").alias("word")).distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n_hit"))
+    names = hit.select("id", F.explode("items").alias("item_id")).distinct().groupBy("id").agg(
         F.count(F.lit(1)).alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ","), 256).alias("items_sha256")
     )
     counts = rows.mapInArrow(_word_counts, "id bigint, doc_id bigint, n_words bigint")
@@ -200,7 +197,7 @@ def contamination(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", tex
     items, small = _items(bench, item_id, item_text)
     if small:
         return _by_automaton(narrow, [(r.item_id, r.text.encode()) for r in items.collect()])
-    return _by_join(narrow, items)
+    return _by_parts(narrow, items)
 
 
 def _items(bench: DataFrame, item_id: str = "item_id", item_text: str = "text") -> tuple[DataFrame, bool]:
@@ -208,15 +205,17 @@ def _items(bench: DataFrame, item_id: str = "item_id", item_text: str = "text")
     items = bench.select(F.col(item_id).cast("bigint").alias("item_id"), F.col(item_text).alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL")
     # a window or word takes at least one word of its item, and a word at least two bytes with its separator
     most = items.agg(F.sum(F.ceil((F.octet_length("text") + 1) / 2))).first()[0] or 0
-    return items, most <= min(MAX_WINDOWS, MAX_WORDS)
+    return items, most <= MAX_WINDOWS
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without any occurring window."""
     items, small = _items(bench)
     if not small:
-        bad = _by_join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), items).filter("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+        no = free_name(docs, "row_number")
+        rows = stored(docs.withColumn(no, F.monotonically_increasing_id()), "numbered")
+        bad = _hits_by_parts(rows.select(F.col(no).alias("id"), "text"), items).select(F.col("id").alias(no)).distinct()
+        return rows.join(bad, no, "left_anti").select(docs.columns)
     shared, key = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.collect()]), uuid.uuid4().hex
     at = docs.columns.index("text")
 

@@ -1,7 +1,9 @@
-"""Benchmark decontamination: the automaton, the join for large benchmarks, and spans."""
+"""Benchmark decontamination: one automaton, automata over parts of large benchmarks, and spans."""
 
 import random
 
+import pytest
+
 from terraloom.llm import decontaminate as dc
 
 
@@ -47,6 +49,16 @@ def test_both_ways_against_brute_force(spark, monkeypatch):
     check(spark, monkeypatch, items, docs)
 
 
+@pytest.mark.parametrize("most", [dc.MAX_WINDOWS, -1])
+def test_clean_goes_row_by_row(spark, monkeypatch, most):
+    """Repeated and missing ids: a hit row takes no other row with it, at either size of the benchmark."""
+    monkeypatch.setattr(dc, "MAX_WINDOWS", most)
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "lone words")], "item_id long, text string")
+    rows = [(7, "a b", 1), (7, "x lone words y", 2), (None, "c", 3), (None, "LONE words", 4), (None, None, 5), (8, "", 6)]
+    got = dc.clean(spark.createDataFrame(rows, "doc_id long, text string, row_number int"), bench)
+    assert got.columns == ["doc_id", "text", "row_number"] and sorted(r.row_number for r in got.collect()) == [1, 3, 5, 6]
+
+
 def test_empty_tables(spark, monkeypatch):
     check(spark, monkeypatch, [], [(1, "a b")])
     check(spark, monkeypatch, [(1, "a b")], [])
