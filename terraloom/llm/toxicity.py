@@ -306,7 +306,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     sample = stored(labelled_sample(labels, "toxic", FOLDS, FOLD, per_class), "sample")
-    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # two times per_class rows at most
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # two times per_class ids at most
+    # one row for each id, however many share it: that with the smallest hash of its text
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     # copies of one text are evidence of one text: without this a copied text would teach all its words
     one = chosen.select("doc_id", "y", "text").mapInArrow(_sketched, "doc_id bigint, y int, text string, sketch bigint").groupBy("y", "sketch")
     texts = stored(one.agg(F.min_by("text", "doc_id").alias("text")).select("y", "text"), "texts")

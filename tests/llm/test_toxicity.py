@@ -84,3 +84,12 @@ def test_odd_rows(spark, labels):
     got = tx.scores(docs, lab).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got)
     assert tx.scores(docs.limit(0), lab).collect() == []
+
+
+def test_a_repeated_id_sends_one_row_to_the_driver(spark, monkeypatch):
+    rows = [(i, f"plain words {i} of many others {i * 7}") for i in range(40)] + [(k, f"copy {j} of an id {j * 3} {k}") for j in range(60) for k in range(4)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tx, "logistic", lambda x, y, w, ridge=0.05: (seen.append(len(y)), np.zeros(tx.FEATURES + 1))[1])
+    tx.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen and 0 < seen[0] <= 40
