@@ -16,8 +16,8 @@ Training, from labelled rows outside of the held-out fold only:
 5. a logistic curve from margin to probability, fitted on a part of the sample that the
    support vectors have not seen.
 
-The sample is bounded by ``PER_CLASS`` rows of either label (``sampling.labelled_sample``); every row of
-the table is scored, whole.
+The sample is bounded by ``PER_CLASS`` rows of either label (``sampling.labelled_sample``), by ``TEXT_BYTES`` for a text and
+by ``SAMPLE_BYTES`` in all, so that its features fit the driver; every row of the table is scored, whole.
 
 Defined results: null and empty texts have no n-grams and are judged by their shape alone; repeated
 rows are scored one by one; without labels of both classes every score is the share of label 1 (0.5
@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.llm.common import stored, utf8
@@ -42,6 +42,8 @@ DIM = 1 << 18
 SHAPES = 64
 WIDTH = DIM + SHAPES
 PER_CLASS = 3000
+TEXT_BYTES = 1 << 18  # longest text of the sample
+SAMPLE_BYTES = 96 << 20  # all texts of the sample
 ALPHA = 1.0
 BETA = 0.5
 FOLDS, FOLD = 5, 0
@@ -182,6 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # two times per_class ids at most
     # one row for each id, however many share it: that with the smallest hash of its text
     texts = texts.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    # the sample is bounded in bytes too: texts of up to TEXT_BYTES, SAMPLE_BYTES of them in the order of a hash of the id
+    size = F.octet_length("text")
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # two times per_class rows
+    texts = texts.filter(F.coalesce(size, F.lit(0)) <= TEXT_BYTES).withColumn("upto", F.coalesce(upto, F.lit(0))).filter(F.col("upto") <= SAMPLE_BYTES)
     got = texts.select("doc_id", "y", "text").mapInArrow(_indices, "doc_id bigint, y int, grams array<int>").toArrow()
     order = np.lexsort((np.array([len(g) for g in got["grams"]]), got["doc_id"].to_numpy()))
     rnd = np.random.default_rng(7).permutation(len(order))

@@ -61,3 +61,16 @@ def test_a_repeated_id_sends_one_row_to_the_driver(spark, monkeypatch):
     monkeypatch.setattr(quality, "train", lambda rows, y, prior: seen.append((len(rows), len(y))))
     quality.fit(docs, labels)
     assert 0 < seen[0][0] == seen[0][1] <= 40
+
+
+def test_very_long_texts_stay_out_of_the_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} of a table") for i in range(40)] + [(100 + k, f"w{k} " * 200_000) for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(r, r % 2) for r in [*range(40), *range(100, 104)]], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows, y, prior: seen.append(len(rows)))
+    quality.fit(docs, labels)
+    most = seen[0]
+    assert 0 < most <= 40
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
+    quality.fit(docs, labels)
+    assert 0 < seen[1] < most
