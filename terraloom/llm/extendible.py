@@ -108,6 +108,15 @@ def shards(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "tex
     return assign(docs.withColumns({"_h": hash60(doc_id), "_size": size}), limit).drop("_h")
 
 
+def named_shards(docs: DataFrame, limit: int, doc_id: str = "doc_id", text: str = "text", name: str = "shard") -> DataFrame:
+    """The rows of ``docs`` with the name of their shard as the last column ``name``; a column of that name in ``docs`` gives way
+    to it. Other columns may have any names."""
+    cols = [c for c in docs.columns if c.lower() != name.lower()]
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), hash60(doc_id).alias("_h"), size.alias("_size"))
+    return assign(rows, limit).select("row", bucket_name().alias("_name")).select("row.*", "_name").toDF(*cols, name)
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
     """Write the output of ``shards`` as one folder per shard; a shard is written by one task."""
     named = sharded.withColumn("shard", bucket_name()).drop("_depth", "_prefix", "_page", "_size")

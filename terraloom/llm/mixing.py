@@ -8,8 +8,8 @@ sums over the sources in each round; a round clamps at least one more source or
 
 A source with target T and size S takes floor(T / S) whole repetitions of each document. The rest is
 one fractional repetition: documents in the order of a seeded hash of their id are taken whole until
-the target is reached; the document at the border gives its first words only, so that the source meets
-its target to the word. The border is found without sorting a source: words are counted by cells of
+the target is reached; ``mix`` counts the words that the document at the border would have to give for the source to meet
+its target to the word, ``repeated`` takes that document whole or not at all. The border is found without sorting a source: words are counted by cells of
 the hash (a partial aggregate), the cells' running sum gives the border cell, and only that cell's
 documents are put in order. Reruns agree, as nothing but the ids and the seed decides.
 
@@ -123,15 +123,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def repeated(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as the mix takes it. The partial
-    repetition of a border document has its first words, joined by single spaces, and ``n_chars`` follows."""
-    rows = mixed(docs, **how)
-    copies = (F.col("_whole") + (F.col("_part") > 0).cast("bigint")).cast("int")
-    out = rows.filter(copies > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), copies)))
-    cut = (F.col("_k") > F.col("_whole")) & (F.col("_part") < 1)
-    words = F.round(F.col("_part") * F.col("_size")).cast("int")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), words), " ")
-    out = out.withColumn("text", F.when(cut, first).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    """The mix itself: the rows of ``docs``, all columns as they are, each as often as the mix takes it. The unit at the
+    border of a source's target is taken whole or not at all, whichever comes nearer to the target."""
+    rows = mixed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source"), **how)
+    copies = (F.col("_whole") + (F.col("_part") >= 0.5).cast("bigint")).cast("int")
+    return rows.filter(copies > 0).select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("k")).select("row.*")

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import stored, utf8
+from terraloom.llm.common import free_name, stored, utf8
 from terraloom.llm.components import components
 
 RADIUS = 3
@@ -130,19 +130,20 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     labels = stored(_labels(prints), "labels")
     own = prints.join(labels, "fp").filter("doc_id = component_id")
     stay = stored(own.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")), "stay")
+    no = free_name(docs, "row_number")
     kept = docs.join(stay, "doc_id", "left_semi")
     often = stored(prints.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id").join(stay, "doc_id", "left_semi"), "repeated")
     if not often.isEmpty():  # the id alone does not tell which row: its fingerprint does
-        numbered = stored(kept.join(often, "doc_id", "left_semi").withColumn("_no", F.monotonically_increasing_id()), "numbered")
-        marks = fingerprints(numbered, "_no").select(F.col("doc_id").alias("_no"), "fp").join(numbered.select("_no", "doc_id"), "_no")
-        one = marks.join(stay, ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.min("_no").alias("_no")).select("_no")
-        kept = kept.join(often, "doc_id", "left_anti").select(docs.columns).unionByName(numbered.join(one, "_no", "left_semi").select(docs.columns))
+        numbered = stored(kept.join(often, "doc_id", "left_semi").withColumn(no, F.monotonically_increasing_id()), "numbered")
+        marks = fingerprints(numbered, no).select(F.col("doc_id").alias(no), "fp").join(numbered.select(no, "doc_id"), no)
+        one = marks.join(stay, ["doc_id", "fp"]).groupBy("doc_id", "fp").agg(F.min(no).alias(no)).select(no)
+        kept = kept.join(often, "doc_id", "left_anti").select(docs.columns).unionByName(numbered.join(one, no, "left_semi").select(docs.columns))
     if prints.filter("doc_id IS NULL").limit(1).count() == 0:
         return kept.select(docs.columns)
     unnamed = labels.filter("component_id IS NULL").groupBy("root").agg(F.min("fp").alias("fp")).select("fp")
-    nameless = docs.filter("doc_id IS NULL").withColumn("_no", F.monotonically_increasing_id())
-    firsts = fingerprints(nameless, "_no").join(unnamed, "fp").groupBy("fp").agg(F.min("doc_id").alias("_no")).select("_no")
-    return kept.select(docs.columns).unionByName(nameless.join(firsts, "_no", "left_semi").select(docs.columns))
+    nameless = docs.filter("doc_id IS NULL").withColumn(no, F.monotonically_increasing_id())
+    firsts = fingerprints(nameless, no).join(unnamed, "fp").groupBy("fp").agg(F.min("doc_id").alias(no)).select(no)
+    return kept.select(docs.columns).unionByName(nameless.join(firsts, no, "left_semi").select(docs.columns))
 
 
 def as_hex(fp: str | Column) -> Column:
