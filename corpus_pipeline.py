@@ -3,6 +3,11 @@
 A stage gets all rows that its predecessor kept, written as Parquet and read again, and its decisions
 take effect: rejected, duplicate and contaminated documents go, the mix repeats or leaves out
 documents, and the last stage names each document's shard. Filtering stages keep every column.
+
+Defined results: a null text counts as empty; rows that repeat an id are judged row by row, but for the near-duplicate
+stage, which keeps one row of each component, and the mix, which takes or leaves them together; ties go to the
+smallest id; an empty table stays empty; further columns of any name are kept, a column ``shard`` gives way to the last
+stage's.
 """
 
 from __future__ import annotations
@@ -37,8 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def name_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with the name of their shard of at most ``SHARD_BYTES``."""
-    out = extendible.shards(docs, SHARD_BYTES)
-    return out.withColumn("shard", extendible.bucket_name()).select(*docs.columns, "shard")
+    return extendible.named_shards(docs, SHARD_BYTES)
 
 
 STAGES = [
