@@ -284,16 +284,17 @@ def phi_decay(spark, sf):
 
 @query(
     "grid_forecast",
-    f"""{SHIP}, {GCLIM}, {NORMALS}, nc AS (SELECT count(*) AS c FROM (SELECT DISTINCT lat, lon FROM grid_ship)),
-    sd AS (SELECT max(obs_date) AS d FROM (SELECT obs_date, count(value) AS n FROM grid_ship GROUP BY 1) WHERE n / (SELECT c FROM nc) > 0.5),
-    seed AS (SELECT lat, lon, avg(anom) AS s FROM an, sd WHERE obs_date BETWEEN d - 2 AND d GROUP BY 1, 2),
+    f"""{SHIP}, {GCLIM}, {NORMALS.replace("normals AS (", "normals AS MATERIALIZED (").replace("an AS (", "an AS MATERIALIZED (").replace("ph AS (", "ph AS MATERIALIZED (")},
+    nd AS (SELECT obs_date, count(value) AS n FROM grid_ship GROUP BY 1), nc AS (SELECT count(*) AS c FROM (SELECT DISTINCT lat, lon FROM grid_ship)),
+    sd AS MATERIALIZED (SELECT max(obs_date) AS d FROM nd, nc WHERE n / c > 0.5),
+    seed AS MATERIALIZED (SELECT lat, lon, avg(anom) AS s FROM an, sd WHERE obs_date BETWEEN d - 2 AND d GROUP BY 1, 2),
     lp AS (SELECT lead AS l0, ln(greatest(1e-4, phi)) AS p0, lead(lead) OVER (ORDER BY lead) AS l1, lead(ln(greatest(1e-4, phi))) OVER (ORDER BY lead) AS p1 FROM ph),
-    phis AS (SELECT x.range AS lead, exp(CASE WHEN x.range = l0 OR l1 IS NULL THEN p0 ELSE p0 + (p1 - p0) * (x.range - l0) / (l1 - l0) END) AS phi
-      FROM range(1, 15) x JOIN lp ON x.range >= l0 AND (l1 IS NULL OR x.range < l1)),
+    days AS MATERIALIZED (SELECT x.range AS lead, CAST(d + CAST(x.range AS INT) AS DATE) AS target, dayofyear(CAST(d + CAST(x.range AS INT) AS DATE)) AS doy,
+        exp(CASE WHEN x.range = l0 OR l1 IS NULL THEN p0 ELSE p0 + (p1 - p0) * (x.range - l0) / (l1 - l0) END) AS phi
+      FROM range(1, 15) x, sd, lp WHERE x.range >= l0 AND (l1 IS NULL OR x.range < l1)),
     cells AS (SELECT DISTINCT lat, lon FROM gclim)
-    SELECT c.lat, c.lon, p.lead, CAST(CAST(d + CAST(p.lead AS INT) AS DATE) AS VARCHAR) AS target_date, round(greatest(0, n.normal + phi * coalesce(s, 0)), 4) AS value, round(phi * coalesce(s, 0), 4) AS anomaly
-    FROM cells c CROSS JOIN sd CROSS JOIN phis p JOIN normals n ON n.lat = c.lat AND n.lon = c.lon AND n.doy = dayofyear(CAST(d + CAST(p.lead AS INT) AS DATE))
-      LEFT JOIN seed ON seed.lat = c.lat AND seed.lon = c.lon""",
+    SELECT c.lat, c.lon, p.lead, CAST(target AS VARCHAR) AS target_date, round(greatest(0, n.normal + phi * coalesce(s, 0)), 4) AS value, round(phi * coalesce(s, 0), 4) AS anomaly
+    FROM cells c JOIN normals n USING (lat, lon) JOIN days p USING (doy) LEFT JOIN seed USING (lat, lon)""",
 )
 def grid_forecast(spark, sf):
     g, c, rows = phi_rows(spark, sf)
@@ -391,14 +392,36 @@ def monthly_fields(grid):
     return shared(cl.field_mean(grid.withColumn("ym", F.date_format("obs_date", "yyyy-MM")), ["ym"]))
 
 
-@query("surface_fusion")
+# the order-exact replay: one step of the recursion for each cell of a month, on lists of its cells
+SURFACE = f"""WITH RECURSIVE {tb.GRID_SHIP}, {tb.GRID_ORDERS},
+air AS (SELECT strftime(obs_date, '%Y-%m') AS ym, lat, lon, avg(value) AS v FROM grid_ship GROUP BY ALL),
+skin AS (SELECT strftime(obs_date, '%Y-%m') AS ym, lat, lon, avg(value) AS v FROM grid_orders GROUP BY ALL),
+la AS (SELECT ym, a.lat, s.lat AS clat FROM (SELECT DISTINCT ym, lat FROM air) a JOIN (SELECT DISTINCT ym, lat FROM skin) s USING (ym) QUALIFY row_number() OVER (PARTITION BY ym, a.lat ORDER BY abs(s.lat - a.lat), s.lat) = 1),
+lo AS (SELECT ym, a.lon, s.lon AS clon FROM (SELECT DISTINCT ym, lon FROM air) a JOIN (SELECT DISTINCT ym, lon FROM skin) s USING (ym) QUALIFY row_number() OVER (PARTITION BY ym, a.lon ORDER BY abs(s.lon - a.lon), s.lon) = 1),
+cells AS (SELECT air.ym, air.lat, air.lon, air.v, skin.v AS obs FROM air LEFT JOIN la ON la.ym = air.ym AND la.lat = air.lat LEFT JOIN lo ON lo.ym = air.ym AND lo.lon = air.lon
+  LEFT JOIN skin ON skin.ym = air.ym AND skin.lat = la.clat AND skin.lon = lo.clon),
+ls AS (SELECT ym, count(*) AS n, list(v ORDER BY lat, lon) AS v, list(obs ORDER BY lat, lon) AS o, list(lat ORDER BY lat, lon) AS ys, list(lon ORDER BY lat, lon) AS xs FROM cells GROUP BY ym),
+step AS (SELECT ym, 1::BIGINT AS k, v AS g FROM ls
+  UNION ALL SELECT ym, k + 1, CASE WHEN o[k] IS NULL OR g[k] IS NULL THEN g ELSE list_transform(range(1, n + 1), lambda i: g[i] + 0.5::DOUBLE
+    * greatest((0.36::DOUBLE - (pow(ys[i] - ys[k], 2) + pow(xs[i] - xs[k], 2))) / (0.36::DOUBLE + (pow(ys[i] - ys[k], 2) + pow(xs[i] - xs[k], 2))), 0) * (o[k] - g[k])) END
+  FROM step JOIN ls USING (ym) WHERE k <= n),
+done AS (SELECT ym, unnest(ys) AS lat, unnest(xs) AS lon, unnest(v) AS value, unnest(o) AS obs, unnest(g) AS fused FROM step JOIN ls USING (ym) WHERE k = n + 1)"""
+
+
+@query(
+    "surface_fusion",
+    f"""{SURFACE} SELECT ym, lat, lon, round(value, 4) AS value, round(fused, 4) AS fused, round(fused - value, 4) AS adjustment FROM done""",
+)
 def surface_fusion(spark, sf):
-    """Order-exact assimilation for every month of the record (checked by brute force in tests)."""
+    """Order-exact assimilation for every month of the record."""
     f = fu.surface_fusion(monthly_fields(tb.grid_ship(spark, sf)), monthly_fields(tb.grid_orders(spark, sf)), ["ym"])
     return f.select("ym", "lat", "lon", r("value"), r("fused"), r("adjustment"))
 
 
-@query("surface_fusion_summary")
+@query(
+    "surface_fusion_summary",
+    f"""{SURFACE} SELECT ym, count(obs) AS n_obs, round(coalesce(avg(abs(fused - value)), 0), 4) AS mean_abs_adjustment, round(coalesce(max(abs(fused - value)), 0), 4) AS max_abs_adjustment FROM done GROUP BY ym""",
+)
 def surface_fusion_summary(spark, sf):
     f = fu.surface_fusion(monthly_fields(tb.grid_ship(spark, sf)), monthly_fields(tb.grid_orders(spark, sf)), ["ym"])
     a = fu.adjustment_summary(f, ["ym"])

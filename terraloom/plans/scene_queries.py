@@ -441,10 +441,68 @@ def objects(spark, sf):
     return co.area_objects(px, K).unionByName(co.road_objects(px, K))
 
 
-@query("texture_segment")
+# names of the evidence in SQL
+SHOWN = {"r-g": "r - g", "r-b": "r - b", "g-b": "g - b", "g-r": "g - r", "b-r": "b - r", "b-g": "b - g"}
+
+
+def sql_holds(tests) -> str:
+    return "(" + " AND ".join(f"({SHOWN.get(n, n)}) {op} {value}::DOUBLE" for n, op, value in tests) + ")"
+
+
+def _box(src: str, out: str, columns: list[str], size: int) -> str:
+    """Means over a square of 40 x 40 scenes, mirrored at the border."""
+    near = "abs({v} + d - 78 * CAST({v} + d > 39 AS INT))"
+    line = lambda name, of, axis, other: (
+        f"""{name} AS (SELECT p.scene_id, p.y, p.x, {', '.join(f'avg(q.{c}) AS {c}' for c in columns)} FROM {of} p, range(-{size // 2}, {size // 2 + 1}) t(d)
+  JOIN {of} q ON q.scene_id = p.scene_id AND q.{other} = p.{other} AND q.{axis} = {near.format(v='p.' + axis)} GROUP BY ALL)"""
+    )
+    return f"{line(out + '_x', src, 'x', 'y')}, {line(out, out + '_x', 'y', 'x')}"
+
+
+def _square(src: str, out: str, fn: str, radius: int, column: str = "m") -> str:
+    w = lambda part, order: f"OVER (PARTITION BY scene_id, {part} ORDER BY {order} RANGE BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
+    return f"""{out}_x AS (SELECT scene_id, y, x, {fn}({column}) {w('y', 'x')} AS m FROM {src}), {out} AS (SELECT scene_id, y, x, {fn}(m) {w('x', 'y')} AS m FROM {out}_x)"""
+
+
+def _towns(src: str, out: str, share: float) -> str:
+    """Pixels of regions of at least that share of a scene: steps along touching pixels, from the smallest number."""
+    return f"""{out}_f AS MATERIALIZED (SELECT scene_id, y, x FROM {src} WHERE m = 1),
+{out}_e AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM {out}_f a JOIN {out}_f b ON a.scene_id = b.scene_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
+{out}_r AS (SELECT scene_id, y, x, y * 1000 + x AS c, 0 AS k FROM {out}_f
+  UNION ALL SELECT e.scene_id, e.y2, e.x2, min(r.c), any_value(r.k) + 1 FROM {out}_r r JOIN {out}_e e ON e.scene_id = r.scene_id AND e.y = r.y AND e.x = r.x WHERE r.k < 400 GROUP BY e.scene_id, e.y2, e.x2),
+{out}_c AS (SELECT scene_id, y, x, c FROM {out}_r WHERE k = 400),
+{out} AS (SELECT scene_id, y, x FROM {out}_c JOIN (SELECT scene_id, c FROM {out}_c GROUP BY ALL HAVING count(*) >= {share} * 1600) USING (scene_id, c))"""
+
+
+def _median5(src: str, out: str) -> str:
+    return f"""{out} AS (SELECT p.scene_id, p.y, p.x, list_sort(list(q.cls))[13] AS cls FROM {src} p, range(-2, 3) t(dy), range(-2, 3) u(dx)
+  JOIN {src} q ON q.scene_id = p.scene_id AND q.y = least(39, greatest(0, p.y + dy)) AND q.x = least(39, greatest(0, p.x + dx)) GROUP BY ALL)"""
+
+
+_S = {n: sql_holds(t) for n, t in sc.SURFACES.items()}
+_MADE = f"(({_S['grey']} OR {_S['red roof']}) AND NOT {_S['brown soil']} AND {_S['mid light']})"
+_SOFT, _WHITE = _S["vegetation"], f"({_S['bright white']} AND NOT {_S['vegetation']})"
+_WET = f"({_S['blue']} AND NOT {_SOFT} AND NOT {_WHITE})"
+TEXTURE = f"""WITH RECURSIVE {tb.RASTER}, ch AS MATERIALIZED (SELECT scene_id, y, x, b0 AS r, b1 AS g, b2 AS b, greatest(b0, b1, b2) AS vmax,
+  (greatest(b0, b1, b2) - least(b0, b1, b2)) / (greatest(b0, b1, b2) + 1e-6::DOUBLE) AS sat, 2 * b1 - b0 - b2 AS exg, b2 - (b0 + b1) / 2.0::DOUBLE AS blue,
+  b0 AS m0, b1 AS m1, b2 AS m2, b0 * b0 AS q0, b1 * b1 AS q1, b2 * b2 AS q2 FROM raster),
+{_box('ch', 'bm', ['m0', 'm1', 'm2', 'q0', 'q1', 'q2'], 21)},
+rough AS (SELECT ch.* EXCLUDE (m0, m1, m2, q0, q1, q2), (sqrt(greatest(bm.q0 - bm.m0 * bm.m0, 0)) + sqrt(greatest(bm.q1 - bm.m1 * bm.m1, 0)) + sqrt(greatest(bm.q2 - bm.m2 * bm.m2, 0))) / 3 AS het
+  FROM ch JOIN bm USING (scene_id, y, x)),
+surf AS MATERIALIZED (SELECT scene_id, y, x, CASE WHEN {_WET} THEN 1 WHEN {_S['forest']} THEN 0 WHEN {_SOFT} THEN 2 ELSE 4 END AS cls,
+  CAST({_MADE} AND {_S['rough']} AND NOT ({_WET} OR {_SOFT} OR {_WHITE}) AS INT) AS m FROM rough),
+{_square('surf', 'o1', 'min', 3)}, {_square('o1', 'o2', 'max', 3)}, {_square('o2', 'c1', 'max', 4)}, {_square('c1', 'c2', 'min', 4)},
+{_towns('c2', 'town', sc.TOWN_MIN)},
+put AS MATERIALIZED (SELECT s.scene_id, s.y, s.x, CASE WHEN t.y IS NOT NULL THEN 3 ELSE s.cls END AS cls FROM surf s LEFT JOIN town t USING (scene_id, y, x)),
+{_median5('put', 'cm')}"""
+
+
+@query(
+    "texture_segment",
+    f"""{TEXTURE} SELECT scene_id, {PCT5}, round(100 * (0.6 + 0.35 * avg(CAST(cls <> 4 AS DOUBLE))), 1) AS confidence FROM cm GROUP BY scene_id""",
+)
 def texture_segment(spark, sf):
-    px = shared(rgb(spark, sf))
-    s = sc.scene_summary(shared(sc.texture_segment(px)))
+    s = sc.scene_summary(shared(sc.texture_segment(rgb(spark, sf))))
     return s.select("scene_id", *[F.col(c).alias(c.lower()) for c in CLASSES], "confidence")
 
 
