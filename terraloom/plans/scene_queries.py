@@ -12,7 +12,7 @@ from terraloom.operators import spectral as sp
 from terraloom.operators import triage as tr
 from terraloom.plans.registry import query
 from terraloom.plans.shape import i, r, shared
-from terraloom.schemas import CLASSES
+from terraloom.schemas import CLASSES, FINE_CLASSES
 from terraloom.sources import tables as tb
 
 K = ["scene_id"]
@@ -434,15 +434,8 @@ def blob_boxes(spark, sf):
     return b.select("scene_id", "bx", "by", "bw", "bh", r("purity", 5))
 
 
-@query("objects")
-def objects(spark, sf):
-    """Objects of every rule; compared with a brute-force flood fill in the tests."""
-    px = shared(sp.with_channels(tiles(spark, sf)).withColumn("grey", sp.grey(F.col("r"), F.col("g"), F.col("b"))))
-    return co.area_objects(px, K).unionByName(co.road_objects(px, K))
-
-
 # names of the evidence in SQL
-SHOWN = {"r-g": "r - g", "r-b": "r - b", "g-b": "g - b", "g-r": "g - r", "b-r": "b - r", "b-g": "b - g"}
+SHOWN = {"p forest": "pf", "p soft": "ps", "green share": "gf", "built share": "md", "support": "su", "r-g": "r - g", "r-b": "r - b", "g-b": "g - b", "g-r": "g - r", "b-r": "b - r", "b-g": "b - g"}
 
 
 def sql_holds(tests) -> str:
@@ -451,7 +444,7 @@ def sql_holds(tests) -> str:
 
 def _box(src: str, out: str, columns: list[str], size: int) -> str:
     """Means over a square of 40 x 40 scenes, mirrored at the border."""
-    near = "abs({v} + d - 78 * CAST({v} + d > 39 AS INT))"
+    near = "least(({v} + d + 780) % 78, 78 - ({v} + d + 780) % 78)"
     line = lambda name, of, axis, other: (
         f"""{name} AS (SELECT p.scene_id, p.y, p.x, {', '.join(f'avg(q.{c}) AS {c}' for c in columns)} FROM {of} p, range(-{size // 2}, {size // 2 + 1}) t(d)
   JOIN {of} q ON q.scene_id = p.scene_id AND q.{other} = p.{other} AND q.{axis} = {near.format(v='p.' + axis)} GROUP BY ALL)"""
@@ -464,13 +457,18 @@ def _square(src: str, out: str, fn: str, radius: int, column: str = "m") -> str:
     return f"""{out}_x AS (SELECT scene_id, y, x, {fn}({column}) {w('y', 'x')} AS m FROM {src}), {out} AS (SELECT scene_id, y, x, {fn}(m) {w('x', 'y')} AS m FROM {out}_x)"""
 
 
-def _towns(src: str, out: str, share: float) -> str:
-    """Pixels of regions of at least that share of a scene: steps along touching pixels, from the smallest number."""
+def _regions(src: str, out: str) -> str:
+    """Pixels with the smallest number of their region: steps along touching pixels."""
     return f"""{out}_f AS MATERIALIZED (SELECT scene_id, y, x FROM {src} WHERE m = 1),
 {out}_e AS MATERIALIZED (SELECT a.scene_id, a.y, a.x, b.y AS y2, b.x AS x2 FROM {out}_f a JOIN {out}_f b ON a.scene_id = b.scene_id AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1),
 {out}_r AS (SELECT scene_id, y, x, y * 1000 + x AS c, 0 AS k FROM {out}_f
   UNION ALL SELECT e.scene_id, e.y2, e.x2, min(r.c), any_value(r.k) + 1 FROM {out}_r r JOIN {out}_e e ON e.scene_id = r.scene_id AND e.y = r.y AND e.x = r.x WHERE r.k < 400 GROUP BY e.scene_id, e.y2, e.x2),
-{out}_c AS (SELECT scene_id, y, x, c FROM {out}_r WHERE k = 400),
+{out}_c AS MATERIALIZED (SELECT scene_id, y, x, c FROM {out}_r WHERE k = 400)"""
+
+
+def _towns(src: str, out: str, share: float) -> str:
+    """Pixels of regions of at least that share of a scene."""
+    return f"""{_regions(src, out)},
 {out} AS (SELECT scene_id, y, x FROM {out}_c JOIN (SELECT scene_id, c FROM {out}_c GROUP BY ALL HAVING count(*) >= {share} * 1600) USING (scene_id, c))"""
 
 
@@ -479,6 +477,43 @@ def _median5(src: str, out: str) -> str:
   JOIN {src} q ON q.scene_id = p.scene_id AND q.y = least(39, greatest(0, p.y + dy)) AND q.x = least(39, greatest(0, p.x + dx)) GROUP BY ALL)"""
 
 
+
+def _line(part: str, order: str) -> str:
+    w = f"OVER (PARTITION BY scene_id, {part} ORDER BY {order} ROWS BETWEEN 13 PRECEDING AND 13 FOLLOWING)"
+    return f"SELECT scene_id, y, x, max(e) {w} AS m FROM (SELECT scene_id, y, x, min(m) {w} AS e FROM cand)"
+
+
+_RULES = ", ".join(f"({k}, '{name}', {', '.join(f'{float(v)}::DOUBLE' for v in rule)})" for k, (name, _, *rule) in enumerate(co.OBJECT_RULES))
+_AREAS = " UNION ALL ".join(
+    f"SELECT scene_id * 10 + {k} AS scene_id, y, x, CAST(label % 5 = {sp.CODE[cls]}{' AND vmax > 0.48::DOUBLE' if name == 'Building' else ''} AS INT) AS m FROM px" for k, (name, cls, *_) in enumerate(co.OBJECT_RULES)
+)
+_BOXES = """CAST(min(x) AS BIGINT) AS bx, CAST(min(y) AS BIGINT) AS "by", CAST(max(x) - min(x) + 1 AS BIGINT) AS bw, CAST(max(y) - min(y) + 1 AS BIGINT) AS bh, count(*) AS area"""
+OBJECTS = f"""WITH RECURSIVE {tb.RASTER}, px AS MATERIALIZED (SELECT scene_id, y, x, label, greatest(b0, b1, b2) AS vmax, 0.299::DOUBLE * b0 + 0.587::DOUBLE * b1 + 0.114::DOUBLE * b2 AS grey,
+  (greatest(b0, b1, b2) - least(b0, b1, b2)) / (greatest(b0, b1, b2) + 1e-6::DOUBLE) AS sat FROM raster),
+ar AS ({_AREAS}), {_square('ar', 'ao', 'min', 1)}, {_square('ao', 'aq', 'max', 1)}, {_regions('aq', 'area')},
+rules(id, label, lo, hi, a0, a1, most, base, per, cap, pure) AS (VALUES {_RULES}),
+ab AS (SELECT scene_id // 10 AS scene, scene_id % 10 AS id, c, {_BOXES} FROM area_c GROUP BY ALL),
+af AS (SELECT * FROM ab JOIN rules USING (id) WHERE area BETWEEN lo * 1600 AND hi * 1600 AND bw / bh BETWEEN a0 AND a1
+  QUALIFY row_number() OVER (PARTITION BY scene, id ORDER BY bw * bh DESC, c) <= most),
+cand AS MATERIALIZED (SELECT scene_id, y, x, CAST(grey > 0.15::DOUBLE AND grey < 0.52::DOUBLE AND sat < 0.22::DOUBLE AS INT) AS m FROM px),
+ln AS (SELECT scene_id, y, x, max(m) AS m FROM ({_line('y', 'x')} UNION ALL {_line('x', 'y')} UNION ALL {_line('x + y', 'x')} UNION ALL {_line('x - y', 'x')}) GROUP BY ALL),
+{_square('cand', 'b1', 'min', 13)}, {_square('b1', 'b2', 'max', 13)},
+rd AS (SELECT scene_id, y, x, CAST(ln.m > 0 AND b2.m = 0 AS INT) AS m FROM ln JOIN b2 USING (scene_id, y, x)),
+{_square('rd', 'r1', 'max', 2)}, {_square('r1', 'r2', 'min', 2)}, {_square('r2', 'r3', 'min', 1)}, {_square('r3', 'r4', 'max', 1)}, {_regions('r4', 'road')},
+rb AS (SELECT scene_id, c, {_BOXES} FROM road_c GROUP BY ALL)"""
+
+
+@query(
+    "objects",
+    f"""{OBJECTS} SELECT scene AS scene_id, label, bx, "by", bw, bh, round(least(cap, base + per * (area / (bw * bh))), 1) AS confidence FROM af WHERE area / (bw * bh) >= pure
+  UNION ALL SELECT scene_id, 'Road', bx, "by", bw, bh, round(least(96, 60 + area / 1600 * 400), 1) FROM rb WHERE area >= 0.0003 * 1600 AND greatest(bw, bh) / (least(bw, bh) + 1e-6::DOUBLE) >= 1.8""",
+)
+def objects(spark, sf):
+    """Objects of every rule."""
+    px = shared(sp.with_channels(tiles(spark, sf)).withColumn("grey", sp.grey(F.col("r"), F.col("g"), F.col("b"))))
+    return co.area_objects(px, K).unionByName(co.road_objects(px, K))
+
+
 _S = {n: sql_holds(t) for n, t in sc.SURFACES.items()}
 _MADE = f"(({_S['grey']} OR {_S['red roof']}) AND NOT {_S['brown soil']} AND {_S['mid light']})"
 _SOFT, _WHITE = _S["vegetation"], f"({_S['bright white']} AND NOT {_S['vegetation']})"
@@ -506,7 +541,41 @@ def texture_segment(spark, sf):
     return s.select("scene_id", *[F.col(c).alias(c.lower()) for c in CLASSES], "confidence")
 
 
-@query("hybrid_segment")
+def sql_any(rules) -> str:
+    return "(" + " OR ".join(sql_holds(r) for r in rules) + ")"
+
+
+_G = {n: (sql_any if isinstance(t[0], list) else sql_holds)(t) for n, t in sc.GUARDS.items()}
+_FIVE = ", ".join(" + ".join(["0::DOUBLE", *(f"p10[{k + 1}]" for k, (_, app) in enumerate(FINE_CLASSES) if app == c)]) for c in CLASSES)
+_P = {n: f"p10[{sp.FINE[n] + 1}]" for n in ("Highway", "Industrial", "Residential")}
+HYBRID = f"""{TEXTURE[:TEXTURE.index('surf AS MATERIALIZED')]}
+ex AS (SELECT vec_id, list_transform(embedding[1:10], lambda v: exp(8 * v::DOUBLE)) AS e FROM embeddings),
+pr AS (SELECT vec_id // 100 AS scene_id, (vec_id % 100) // 10 AS ty, vec_id % 10 AS tx, list_transform(e, lambda v: v / list_sum(e)) AS p10 FROM ex),
+p5 AS (SELECT scene_id, ty, tx, p10, [{_FIVE}] AS p FROM pr),
+h0 AS MATERIALIZED (SELECT rough.*, p[1] AS pf, p[1] + p[3] AS ps, list_position(p, list_max(p)) - 1 AS first,
+  list_position([p[1], -1, p[3], -1, p[5]], list_max([p[1], -1, p[3], -1, p[5]])) - 1 AS second, {_P['Industrial']} > {_P['Residential']} + {_P['Highway']} AS works,
+  {_P['Residential']} + {_P['Highway']} + {_P['Industrial']} AS support FROM rough JOIN p5 ON p5.scene_id = rough.scene_id AND ty = y // 4 AND tx = x // 4),
+h1 AS MATERIALIZED (SELECT *, {_G['green']} AS green, {_G['canopy']} AS canopy, CAST({_G['white']} AND NOT {_G['green']} AS DOUBLE) AS white FROM h0),
+{_box('h1', 'bw', ['white'], 41)},
+h2 AS MATERIALIZED (SELECT h1.*, h1.white = 1 AND bw.white > {sc.SNOW_FIELD} AS snow, CAST(h1.white = 1 AND bw.white > {sc.SNOW_FIELD} AS DOUBLE) AS sn FROM h1 JOIN bw USING (scene_id, y, x)),
+{_box('h2', 'bs', ['sn'], 41)},
+h3 AS MATERIALIZED (SELECT h2.* EXCLUDE (sn), bs.sn > {sc.SNOW_NEAR} AS snowy FROM h2 JOIN bs USING (scene_id, y, x)),
+h4 AS MATERIALIZED (SELECT *, CASE WHEN (first = 1 AND ({_G['no water']} OR snow)) OR (first = 3 AND ({_G['no town']} OR snow OR (works AND snowy))) THEN second ELSE first END AS c0,
+  {_G['clear water']} AND NOT green AND NOT snow AND NOT canopy AS clear, CAST({_G['deep water']} AND NOT snow AS INT) AS m,
+  CAST({_MADE} AND NOT green AND NOT snow AS DOUBLE) AS made FROM h3),
+{_towns('h4', 'lake', sc.LAKE_MIN)},
+h5 AS MATERIALIZED (SELECT h4.* EXCLUDE (m), clear OR lake.y IS NOT NULL AS water, CASE WHEN clear OR lake.y IS NOT NULL THEN 1 ELSE c0 END AS c1 FROM h4 LEFT JOIN lake USING (scene_id, y, x)),
+h6 AS MATERIALIZED (SELECT *, CAST((green OR canopy) AND c1 <> 1 AS DOUBLE) AS lf FROM h5),
+{_box('h6', 'bg', ['lf'], 201)}, {_box('h6', 'bt', ['made', 'support'], 31)},
+h7 AS MATERIALIZED (SELECT h6.*, bg.lf AS gf, bt.made AS md, bt.support AS su FROM h6 JOIN bg USING (scene_id, y, x) JOIN bt USING (scene_id, y, x)),
+h8 AS MATERIALIZED (SELECT *, CASE WHEN snow OR (c1 IN (0, 2) AND NOT (green OR canopy) AND {_G['bare']}) THEN 4 ELSE c1 END AS c2 FROM h7),
+bu AS MATERIALIZED (SELECT scene_id, y, x, CAST({_G['town']} AND NOT snowy AND c2 <> 1 AS INT) AS m FROM h8),
+{_square('bu', 'k1', 'max', 4)}, {_square('k1', 'k2', 'min', 4)}, {_towns('k2', 'city', sc.TOWN_MIN)},
+put AS MATERIALIZED (SELECT s.scene_id, s.y, s.x, CASE WHEN t.y IS NOT NULL AND NOT water THEN 3 ELSE c2 END AS cls FROM h8 s LEFT JOIN city t USING (scene_id, y, x)),
+{_median5('put', 'cm')}"""
+
+
+@query("hybrid_segment", f"""{HYBRID} SELECT scene_id, {PCT5} FROM cm GROUP BY scene_id""")
 def hybrid_segment(spark, sf):
     """Model probabilities: a softmax over the tile's first ten numbers (one vector = one tile)."""
     v = F.transform(F.slice("embedding", 1, 10), lambda x: F.exp(8 * x.cast("double")))
