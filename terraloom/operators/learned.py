@@ -6,13 +6,15 @@ fit is one distributed job however many stations there are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -121,14 +123,20 @@ def origins(obs: DataFrame, history: int = HISTORY) -> DataFrame:
 
 @dataclass
 class DirectLeads:
-    """One linear regression per lead on the last 30 standardised anomalies and the season."""
+    """One linear regression per lead on the last 30 standardised anomalies and the season.
+
+    All leads share their inputs, so one aggregate holds everything: the Gram matrix of inputs and targets, to which
+    every task adds its rows' part. It is solved once, for all leads together (ridge in units of the inputs' variances).
+    """
 
     value: str
+    clim: DataFrame
     back: int = 30
     horizon: int = 14
+    ridge: float = 0.01
 
-    def windows(self, obs: DataFrame, clim: DataFrame) -> DataFrame:
-        z = cl.standardised_anomaly(obs, clim, self.value)
+    def windows(self, obs: DataFrame) -> DataFrame:
+        z = cl.standardised_anomaly(obs, self.clim, self.value)
         w = wn.by_date(KEYS)
         d = z.withColumns(
             {
@@ -137,32 +145,45 @@ class DirectLeads:
                 **harmonics(F.col("doy")),
             }
         ).filter(F.size("_in") == self.back)
-        names = [f"z{k}" for k in range(self.back)]
-        d = d.select(*KEYS, "obs_date", "year", "anom_sd", "_out", "sin1", "cos1", *[F.element_at("_in", k + 1).alias(n) for k, n in enumerate(names)])
-        return _vector(d, [*names, "sin1", "cos1"]).drop(*names)
-
-    def fit(self, obs: DataFrame, clim: DataFrame) -> DirectLeads:
-        d = self.windows(obs, clim).persist()
+        return d.select(*KEYS, "obs_date", "year", "anom_sd", F.concat("_in", F.array("sin1", "cos1", F.lit(1.0))).alias("x"), "_out")
+
+    def gram(self, rows: DataFrame) -> np.ndarray:
+        """Sums of products of inputs (with the constant) and targets; ``rows`` has one array ``v`` of both."""
+        n = self.back + 3 + self.horizon
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.zeros((n, n))
+            for b in batches:
+                m = np.asarray(b.column(0).flatten()).reshape(-1, n)
+                held += m.T @ m
+            yield pa.RecordBatch.from_arrays([pa.array(range(n * n), pa.int32()), pa.array(held.ravel())], names=["i", "s"])
+
+        out = np.zeros(n * n)
+        for r in rows.select("v").mapInArrow(add, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # n * n numbers
+            out[r.i] = r.s
+        return out.reshape(n, n)
+
+    def fit(self, obs: DataFrame) -> DirectLeads:
+        """Learns from the years up to the last three."""
         hi = obs.agg(F.max(F.year("obs_date"))).first()[0]
-        full = d.filter((F.size("_out") == self.horizon) & (F.col("year") <= hi - 3))
-        train = full.select("_x", *[F.element_at("_out", h).alias(f"y{h}") for h in range(1, self.horizon + 1)]).persist()
-        fit = lambda h: LinearRegression(featuresCol="_x", labelCol=f"y{h}", regParam=0.01, solver="normal").fit(train.select("_x", f"y{h}"))
-        self.models = {h: fit(h) for h in range(1, self.horizon + 1)}
-        train.unpersist()
-        self.rows = d
+        self.rows = self.windows(obs).persist()
+        full = self.rows.filter((F.size("_out") == self.horizon) & (F.col("year") <= hi - 3))
+        g, k = self.gram(full.select(F.concat("x", "_out").alias("v"))), self.back + 3
+        n = max(g[k - 1, k - 1], 1.0)
+        spread = np.diag(g)[:k] - g[:k, k - 1] ** 2 / n
+        self.coefficients = np.linalg.lstsq(g[:k, :k] + np.diag(self.ridge * np.maximum(spread, 0.0)), g[:k, k:], rcond=None)[0]
         return self
 
-    def forecast(self) -> DataFrame:
-        """(station, issue_date, lead, z, anom_sd): standardised anomaly forecasts of every
-        issue date; the dot products are plain column arithmetic over one array."""
-        x = vector_to_array("_x")
+    def forecast(self, origins: DataFrame, horizon: int = 14) -> DataFrame:
+        """(station, issue_date, lead, z, anom_sd): standardised anomaly forecasts of the issue dates ``origins``; the
+        dot products are plain column arithmetic over one array."""
         leads = []
-        for h, m in self.models.items():
-            coef = F.array(*[F.lit(float(c)) for c in m.coefficients])
-            dot = F.aggregate(F.zip_with("_a", coef, lambda a, b: a * b), F.lit(float(m.intercept)), lambda s, v: s + v)
-            leads.append(F.struct(F.lit(h).alias("lead"), dot.alias("z")))
-        d = self.rows.withColumn("_a", x).select(*KEYS, F.col("obs_date").alias("issue_date"), "anom_sd", F.explode(F.array(*leads)).alias("_l"))
-        return d.select(*KEYS, "issue_date", "anom_sd", "_l.lead", "_l.z")
+        for h in range(min(horizon, self.horizon)):
+            coef = F.array(*[F.lit(float(c)) for c in self.coefficients[:, h]])
+            dot = F.aggregate(F.zip_with("x", coef, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+            leads.append(F.struct(F.lit(h + 1).alias("lead"), dot.alias("z")))
+        d = self.rows.withColumnRenamed("obs_date", "issue_date").join(origins.select(*KEYS, "issue_date"), [*KEYS, "issue_date"], "left_semi")
+        return d.select(*KEYS, "issue_date", "anom_sd", F.explode(F.array(*leads)).alias("_l")).select(*KEYS, "issue_date", "anom_sd", "_l.lead", "_l.z")
 
 
 def unified_backtest(obs: DataFrame, clim: DataFrame, value: str, trees: BoostedTrees) -> tuple[DataFrame, DataFrame]:
@@ -178,8 +199,7 @@ def unified_backtest(obs: DataFrame, clim: DataFrame, value: str, trees: Boosted
     frame = cut_lineage(frame)
     issue = frame.select(*KEYS, "issue_date").distinct()
     g = trees.forecast(origins(obs).join(issue, [*KEYS, "issue_date"], "left_semi")).select(*KEYS, "issue_date", "lead", F.col(value).alias("trees"))
-    direct = DirectLeads(value).fit(obs, clim)
-    z = direct.forecast()
+    z = DirectLeads(value, clim).fit(obs).forecast(issue)
     d = frame.join(g, [*KEYS, "issue_date", "lead"]).join(z, [*KEYS, "issue_date", "lead"])
     floor = (lambda c: c) if value == "tmean" else (lambda c: F.greatest(c, F.lit(0.0)))
     d = d.withColumn("direct", floor(F.col("clim") + F.col("z") * F.col("anom_sd")))

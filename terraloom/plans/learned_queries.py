@@ -15,6 +15,7 @@ from terraloom.plans.grid_queries import phi_rows
 from terraloom.plans.registry import query
 from terraloom.plans.scene_queries import rgb
 from terraloom.plans.shape import i, r, shared
+from terraloom.plans.station_queries import BASE
 from terraloom.schemas import CLASSES
 from terraloom.sources import tables as tb
 
@@ -41,6 +42,31 @@ def gbt_forecast(spark, sf):
     return f.select("station", F.col("issue_date").cast("string").alias("issue_date"), i("lead"), r("tmean"), r("precip"))
 
 
+@query(
+    "direct_leads",
+    f"""WITH RECURSIVE {BASE.removeprefix('WITH ')}, zs AS (SELECT station, obs_date, yr, doy, a / (stddev_pop(a) OVER (PARTITION BY station) + 1e-6) AS z
+      FROM (SELECT station, obs_date, yr, doy, tmean - tmean_mean AS a FROM cal JOIN clim USING (station, doy))),
+    win AS (SELECT station, obs_date, yr, list(z) OVER (w ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS back, list(z) OVER (w ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) AS ahead,
+      [sin(doy * 2 * pi() / 365.25::DOUBLE), cos(doy * 2 * pi() / 365.25::DOUBLE), 1.0::DOUBLE] AS season FROM zs WINDOW w AS (PARTITION BY station ORDER BY obs_date)),
+    m AS MATERIALIZED (SELECT list_concat(list_concat(back, season), ahead) AS v FROM win WHERE len(back) = 30 AND len(ahead) = 14 AND yr <= (SELECT max(yr) FROM cal) - 3),
+    g AS MATERIALIZED (SELECT i.range AS i, j.range AS j, sum(v[i.range] * v[j.range]) AS s FROM m, range(1, 34) i, range(1, 48) j GROUP BY ALL),
+    one AS (SELECT i, s AS mean FROM g WHERE j = 33), n AS (SELECT s AS n FROM g WHERE i = 33 AND j = 33),
+    p AS (SELECT g.i, j, s + CASE WHEN g.i = j AND j < 33 THEN 0.01::DOUBLE * (s - mean * mean / n) ELSE 0 END AS s FROM g JOIN one USING (i), n),
+    sol AS (SELECT 1::BIGINT AS k, list(r ORDER BY i) AS a FROM (SELECT i, list(s ORDER BY j) AS r FROM p GROUP BY i)
+      UNION ALL SELECT k + 1, list_transform(range(1, 34), lambda i: CASE WHEN i = k THEN list_transform(a[k], lambda x: x / a[k][k])
+        ELSE list_transform(range(1, 48), lambda j: a[i][j] - a[i][k] * a[k][j] / a[k][k]) END) FROM sol WHERE k <= 33),
+    newest AS (SELECT station, obs_date, list_concat(back, season) AS x FROM win WHERE len(back) = 30 QUALIFY row_number() OVER (PARTITION BY station ORDER BY obs_date DESC) = 1)
+    SELECT station, CAST(obs_date AS VARCHAR) AS issue_date, h.range AS lead, round(list_sum(list_transform(range(1, 34), lambda i: x[i] * a[i][33 + h.range])), 3) AS z
+    FROM newest, sol, range(1, 15) h WHERE k = 34""",
+)
+def direct_leads(spark, sf):
+    """Standardised anomalies of the next 14 days from the newest day of every station."""
+    obs, clim = record(spark, sf)
+    newest = obs.groupBy("station").agg(F.max("obs_date").alias("issue_date"))
+    f = le.DirectLeads("tmean", clim).fit(obs).forecast(newest)
+    return f.select("station", F.col("issue_date").cast("string").alias("issue_date"), i("lead"), r("z", 3))
+
+
 @query("unified_backtest")
 def unified_backtest(spark, sf):
     obs, clim = record(spark, sf)

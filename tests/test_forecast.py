@@ -173,3 +173,35 @@ def test_unified_backtest_scores_both_variables(spark):
 
     got = lq.unified_backtest(spark, "/root/testdata/sf0.01").groupBy("var").agg(F.countDistinct("method").alias("n"), F.count("rmse").alias("scored")).collect()
     assert {r["var"]: r["n"] for r in got} == {"tmean": 7, "precip": 7} and all(r["scored"] for r in got)
+
+
+def test_direct_leads_from_one_gram_matrix(spark):
+    """All leads at once equal a ridge fit of every lead on its own."""
+    import numpy as np
+
+    from terraloom.operators import learned as le
+
+    rnd = np.random.default_rng(3)
+    days, noise = 2200, rnd.normal(size=2200)
+    z = np.zeros(days)
+    for k in range(1, days):
+        z[k] = 0.8 * z[k - 1] + 0.6 * noise[k]
+    start = dt.date(2010, 1, 1)
+    obs = spark.createDataFrame([("a", start + dt.timedelta(k), float(10 + z[k])) for k in range(days)], "station string, obs_date date, tmean double")
+    clim = spark.createDataFrame([("a", d, 10.0) for d in range(1, 366)], "station string, doy int, tmean_mean double")
+    model = le.DirectLeads("tmean", clim).fit(obs)
+    sd = z.std() + 1e-6
+    doy = [min((start + dt.timedelta(k)).timetuple().tm_yday, 365) for k in range(days)]
+    last = (start + dt.timedelta(days - 1)).year - 3
+    use = [k for k in range(29, days - 14) if (start + dt.timedelta(k)).year <= last]
+    x = np.array([[*(z[k - 29 : k + 1] / sd), np.sin(doy[k] * 2 * np.pi / 365.25), np.cos(doy[k] * 2 * np.pi / 365.25)] for k in use])
+    centre, spread = x.mean(0), x.var(0)
+    for h in (1, 7, 14):
+        y = np.array([z[k + h] / sd for k in use])
+        beta = np.linalg.solve((x - centre).T @ (x - centre) + np.diag(0.01 * len(x) * spread), (x - centre).T @ (y - y.mean()))
+        assert np.allclose(model.coefficients[:-1, h - 1], beta, atol=1e-8)
+        assert np.isclose(model.coefficients[-1, h - 1], y.mean() - centre @ beta, atol=1e-8)
+    issue = spark.createDataFrame([("a", start + dt.timedelta(1500))], "station string, issue_date date")
+    got = {r.lead: r.z for r in model.forecast(issue, 5).collect()}
+    own = np.array([*(z[1471:1501] / sd), np.sin(doy[1500] * 2 * np.pi / 365.25), np.cos(doy[1500] * 2 * np.pi / 365.25), 1.0])
+    assert sorted(got) == [1, 2, 3, 4, 5] and all(np.isclose(got[h], own @ model.coefficients[:, h - 1]) for h in got)
