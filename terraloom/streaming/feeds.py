@@ -51,7 +51,12 @@ def sliding_sums(stream: DataFrame, keys: list[str], value: str, width: str = "7
 
 
 def spells(stream: DataFrame, keys: list[str], flag: Column, gap: str = "1 day 1 second", delay: str = LATENCY) -> DataFrame:
-    """Spells of flagged observations: sessions that close after a gap of more than a day."""
+    """Spells of flagged observations: sessions that close after a gap of more than a day.
+
+    Each task merges the sessions of its own rows before the exchange, so that a key with most of the rows sends few
+    sessions and not its rows.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     hot = stream.withWatermark("ts", delay).filter(flag)
     agg = hot.groupBy(F.session_window("ts", gap), *keys).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
     return agg.select(*keys, "first", "last", "n")

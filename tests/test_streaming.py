@@ -97,3 +97,17 @@ def test_alerts_hours_apart_are_kept(spark, tmp_path):
     land(spark, p, [("a", s, 1) for s in (0, h, 4 * h, 11 * h, 40 * h)] + [("b", 5 * h, 1), ("a", 30 * 24 * h, 1)])
     got = fd.drain(fd.first_in_slot(stream(spark, p), ["k"]), "alerts").collect()
     assert sorted((r.k, int((r.first - T0).total_seconds()) // h, r.n) for r in got) == [("a", 0, 2), ("a", 4, 1), ("a", 11, 1), ("a", 40, 1), ("b", 5, 1)]
+
+
+def test_sessions_are_merged_before_the_exchange(spark, tmp_path):
+    """One key with nine tenths of the rows: its sessions leave each task merged."""
+    p = str(tmp_path / "in")
+    rows = [("hot", 60 * k, 9) for k in range(900)] + [(f"k{k}", 50 * k, 9) for k in range(100)] + [("end", 40 * 86400, 9)]
+    land(spark, p, rows)
+    q = fd.spells(stream(spark, p), ["k"], F.col("value") > 5).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    below = plan[plan.index("Exchange") :]  # plans are printed from the result down to the source
+    assert "MergingSessions" in below and "MergingSessions" in plan[: plan.index("Exchange")]
+    s = {r.k: r.n for r in fd.drain(fd.spells(stream(spark, p), ["k"], F.col("value") > 5), "s").collect()}
+    assert s["hot"] == 900 and len(s) == 101
