@@ -32,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,12 +190,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))  # two times per_class rows
     texts = texts.filter(F.coalesce(size, F.lit(0)) <= TEXT_BYTES).withColumn("upto", F.coalesce(upto, F.lit(0))).filter(F.col("upto") <= SAMPLE_BYTES)
     got = texts.select("doc_id", "y", "text").mapInArrow(_indices, "doc_id bigint, y int, grams array<int>").toArrow()
-    order = np.lexsort((np.array([len(g) for g in got["grams"]]), got["doc_id"].to_numpy()))
-    rnd = np.random.default_rng(7).permutation(len(order))
-    order = order[rnd]
-    grams = got["grams"].combine_chunks()
-    rows = [np.asarray(grams[int(i)].values, np.int64) for i in order]
+    sizes = pc.list_value_length(got["grams"]).to_numpy()
+    order = np.lexsort((sizes, got["doc_id"].to_numpy()))
+    order = order[np.random.default_rng(7).permutation(len(order))]
     y = np.asarray(got["y"])[order].astype(np.int64)
+    grams = got["grams"].combine_chunks()
+    del got
+    at, flat = np.asarray(grams.offsets), np.asarray(grams.values)
+    rows = [flat[at[i] : at[i + 1]] for i in order.tolist()]  # views, no copies
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id IS NOT NULL AND q IN (0, 1)")
     prior = known.filter(~held_out("doc_id", FOLDS, FOLD)).agg(F.avg("q")).first()[0]
     return train(rows, y, float(prior if prior is not None else 0.5))
