@@ -150,8 +150,16 @@ class Reader:
         self.logs = np.log10(np.append(v.count, 0) + 1.0)
         self.known = np.log10(v.ends + 1.0)
 
+    def units(self, text: bytes) -> np.ndarray:
+        """Units with the end token."""
+        return self._read(text)[0]
+
     def read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, dict[bytes, int]]:
         """Units with the end token, ranks of the words (-1: not common) and the other words' numbers."""
+        units, rank, words, rare = self._read(text)
+        return units, rank, Counter([words[i] for i in rare])
+
+    def _read(self, text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes], list[int]]:
         words = words_of(text)
         get = self.rank.get
         rank = np.array([get(w, -1) for w in words], np.int32)
@@ -161,7 +169,7 @@ class Reader:
         rare = np.flatnonzero(rank < 0).tolist()
         if rare:
             units[rare] = [self.v.own + suffix_class(words[i]) for i in rare]
-        return units, rank, Counter([words[i] for i in rare])
+        return units, rank, words, rare
 
 
 def contexts(units: np.ndarray, starts: np.ndarray, blank: int) -> np.ndarray:
@@ -287,7 +295,7 @@ def train(training: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarra
                 reader = reader or Reader(words.value)
                 t = t or Trainer(start, words.value, seed=k, rate=rate)
                 for text in utf8(b.column(0)):
-                    held.append(reader.read(text)[0])
+                    held.append(reader.units(text))
                     size += len(held[-1])
                     if size >= 64 * BATCH:
                         t.learn(held)
