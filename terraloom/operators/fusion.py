@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terraloom.functions.numeric import clip
@@ -20,27 +20,75 @@ def pair_sources(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> D
     return a.select(*on, F.col("value").alias("a")).join(b.select(*on, F.col("value").alias("b")), on)
 
 
+DAY_BITS = 22  # days since DAY_ZERO of every date that Spark can hold from year 1 to 9999
+DAY_ZERO = 1 << 20
+
+
+def _upto(last: Column) -> Column:
+    """The blocks of doubling length that together are the axis 0..last: one for each bit of last + 1, a left block of its pair."""
+    bit = lambda b: F.shiftright(last + 1, b)
+    blocks = F.array(*[F.when(bit(b) % 2 == 1, F.struct(F.lit(b).alias("b"), (bit(b) - 1).alias("no"))) for b in range(DAY_BITS)])
+    return F.filter(blocks, lambda x: x.isNotNull())
+
+
+def _holding(at: Column) -> Column:
+    """The left blocks that hold a place of the axis."""
+    bit = lambda b: F.shiftright(at, b)
+    blocks = F.array(*[F.when(bit(b) % 2 == 0, F.struct(F.lit(b).alias("b"), bit(b).alias("no"))) for b in range(DAY_BITS)])
+    return F.filter(blocks, lambda x: x.isNotNull())
+
+
 def overlapping_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Catalogue entries whose [start, end] ranges overlap, per left entry the best partner:
-    most shared days, then the fewest days, then the newest end.
-
-    Both sides are reduced to their distinct day ranges before the range join, so the pairs
-    are bounded by the calendar however many entries share a range; the ids come back by
-    equality joins. Partners of one (start, end, days) are interchangeable: the least id.
+    most shared days, then the fewest days, then the newest end, then the greatest id.
+
+    No range is paired with all that overlap it. A partner starts either up to the start of the left range or from there on;
+    these starts are a few blocks of doubling length on the axis of days. In a block, the best partner that ends up to
+    the left end, or from there on, is a running maximum over the ends:
+
+    ============  ====================  ======================
+    partner       ends up to left end   ends from left end on
+    ============  ====================  ======================
+    starts before newest end            fewest days
+    starts after  longest               first start
+    ============  ====================  ======================
+
+    So the work is the number of distinct ranges times some twenty blocks, however many overlap. Partners of one range
+    are interchangeable but for their days: the fewest days, then the least id. Ranges that end before they start, or lack an
+    end, overlap nothing.
     """
-    ranges = right.groupBy(*keys, F.col("start_ymd").alias("r_start"), F.col("end_ymd").alias("r_end"), F.col("days").alias("r_days")).agg(
-        F.min("id").alias("right_id")
-    )
-    spans = left.select(*keys, F.col("start_ymd").alias("l_start"), F.col("end_ymd").alias("l_end")).distinct()
-    on = [spans[k] == ranges[k] for k in keys]
-    j = spans.join(ranges, [*on, F.col("r_end") >= F.col("l_start"), F.col("r_start") <= F.col("l_end")])
-    shared_days = F.datediff(
-        F.to_date(F.least("r_end", "l_end"), "yyyyMMdd"), F.to_date(F.greatest("r_start", "l_start"), "yyyyMMdd")
-    )
-    best = F.max(F.struct(shared_days.alias("overlap"), (-F.col("r_days")).alias("d"), F.col("r_end").alias("e"), F.col("right_id").alias("id")))
-    picked = j.groupBy(*[spans[k] for k in keys], "l_start", "l_end").agg(best.alias("_b"))
-    ids = left.select(*keys, F.col("id").alias("left_id"), F.col("start_ymd").alias("l_start"), F.col("end_ymd").alias("l_end"))
-    return ids.join(picked, [*keys, "l_start", "l_end"]).select(
+    day = lambda c: F.unix_date(F.to_date(c, "yyyyMMdd")) + DAY_ZERO
+    valid = "start_ymd <= end_ymd"
+    spans = left.filter(valid).select(*keys, day("start_ymd").alias("s"), day("end_ymd").alias("e")).distinct()
+    ranges = right.filter(valid).groupBy(*keys, day("start_ymd").alias("s"), day("end_ymd").alias("e")).agg(
+        F.min(F.struct("days", "id")).alias("m")
+    ).select(*keys, "s", "e", "m.days", "m.id")
+    mirrored = F.lit((1 << DAY_BITS) - 1) - F.col("s")
+
+    def sides(d: DataFrame, blocks, *more: str) -> DataFrame:
+        both = F.array(F.struct(F.lit("before").alias("side"), blocks(F.col("s")).alias("at")), F.struct(F.lit("after").alias("side"), blocks(mirrored).alias("at")))
+        d = d.select(*keys, "s", "e", *more, F.explode(both).alias("_x"))
+        return d.select(*keys, "s", "e", *more, "_x.side", F.explode("_x.at").alias("_b")).select(*keys, "s", "e", *more, "side", "_b.*")
+
+    def rank(upto: bool) -> Column:
+        worth = F.when(F.col("side") == "before", F.col("e") if upto else F.lit(0)).otherwise(F.col("e") - F.col("s") if upto else -F.col("s"))
+        return F.when(F.col("id").isNotNull(), F.struct(worth.alias("v"), (-F.col("days")).alias("d"), F.col("e").alias("e"), F.col("id").alias("id")))
+
+    asked = sides(spans, _upto).withColumns({"days": F.lit(None).cast(ranges.schema["days"].dataType), "id": F.lit(None).cast(ranges.schema["id"].dataType)})
+    rows = asked.unionByName(sides(ranges, _holding, "days", "id"))
+    block = Window.partitionBy(*keys, "side", "b", "no")
+    # rows with the same end are peers: each frame holds them all
+    rows = rows.withColumns({"upto": F.max(rank(True)).over(block.orderBy("e")), "beyond": F.max(rank(False)).over(block.orderBy(F.col("e").desc()))})
+    before = F.col("side") == "before"
+    shared_days = {
+        "upto": F.when(before, F.col("upto.v") - F.col("s")).otherwise(F.col("upto.v")),
+        "beyond": F.when(before, F.col("e") - F.col("s")).otherwise(F.col("e") + F.col("beyond.v")),
+    }
+    found = [F.struct(n.alias("overlap"), F.col(f"{c}.d"), F.col(f"{c}.e"), F.col(f"{c}.id")) for c, n in shared_days.items()]
+    some = rows.filter("id IS NULL").select(*keys, "s", "e", F.explode(F.array(*found)).alias("_f")).filter("_f.id IS NOT NULL AND _f.overlap >= 0")
+    picked = some.groupBy(*keys, "s", "e").agg(F.max("_f").alias("_b"))
+    ids = left.filter(valid).select(*keys, F.col("id").alias("left_id"), day("start_ymd").alias("s"), day("end_ymd").alias("e"))
+    return ids.join(picked, [*keys, "s", "e"]).select(
         *keys, "left_id", F.col("_b.id").alias("right_id"), F.col("_b.overlap").alias("overlap_days")
     )
 
