@@ -8,7 +8,7 @@ from terraloom.operators import climatology as cl
 from terraloom.operators import focal as fo
 from terraloom.operators import learned as le
 from terraloom.operators import scene as sc
-from terraloom.operators import skill as sk
+from terraloom.operators import scorers as so
 from terraloom.operators import spectral as sp
 from terraloom.plans.grid_queries import K as GRID_K
 from terraloom.plans.grid_queries import phi_rows
@@ -17,6 +17,7 @@ from terraloom.plans.scene_queries import rgb
 from terraloom.plans.shape import i, r, shared
 from terraloom.plans.station_queries import BASE
 from terraloom.schemas import CLASSES
+from terraloom.session import scratch_path
 from terraloom.sources import tables as tb
 
 
@@ -103,17 +104,16 @@ def patch_classifier(spark, sf):
 
 @query("promotion")
 def promotion(spark, sf):
-    """Champion (nearest band rule) against challenger (tile classifier) on tile labels."""
+    """The tile classifier fitted on all training tiles challenges the stored one of an earlier time, when only half of the
+    scenes were there. Both are scored on the held-out tiles of all scenes."""
     px = rgb(spark, sf).withColumns({"ty": F.floor(F.col("y") / 4), "tx": F.floor(F.col("x") / 4)})
     names = ["r_mean", "r_std", "g_mean", "g_std", "b_mean", "b_std"]
-    tiles = shared(sc.patch_features(px, ["scene_id", "ty", "tx", "label"]))
-    w, b, _ = le.fit_patch_scorer(tiles, names, "label")
-    d = tiles.withColumn("pred_c", sp.argmax(sc.linear_scorer(w, b)(F.array(*names))))
-    d = d.withColumn("pred_h", F.floor(F.col("r_mean") * 10).cast("int"))
-    both = d.select("label", F.explode(F.array(
-        F.struct(F.lit("challenger").alias("role"), F.col("pred_c").alias("pred")), F.struct(F.lit("champion").alias("role"), F.col("pred_h").alias("pred")))).alias("v")).select("label", "v.*")
-    acc = both.groupBy("role").agg(
-        F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
-        F.avg((F.pmod("label", F.lit(5)) == F.pmod("pred", F.lit(5))).cast("double")).alias("grouped_accuracy"),
-    ).withColumn("task", F.lit("tiles"))
-    return sk.promote(acc).select("task", F.col("promote").cast("int").alias("promote"))
+    tiles = sc.patch_features(px, ["scene_id", "ty", "tx", "label"]).withColumn("tile", F.concat_ws("/", "scene_id", "ty", "tx"))
+    parts = shared(sc.stratified_split(tiles, "label", "tile"))
+    train, store = parts.filter("split = 'train'"), scratch_path(spark, "scorers")
+    for version, rows in (("half", train.filter("scene_id % 2 = 0")), ("all", train)):
+        w, b, _ = le.fit_patch_scorer(rows, names, "label")
+        so.save(spark, store, "tiles", version, names, w, b)
+        out = so.challenge(spark, store, "tiles", version, parts.filter("split = 'test'"), "label")
+    now = so.in_service(spark, store).select("task", F.col("version").alias("in_service"))
+    return out.join(now, "task").select("task", "role", "version", r("accuracy"), r("grouped_accuracy"), "n", F.col("promote").cast("int").alias("promote"), "in_service")
