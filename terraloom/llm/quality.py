@@ -105,17 +105,17 @@ def dual_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost:
     indicators, whose values are ``scale``; ``cost`` bounds each row's dual variable."""
     w, b = np.zeros(len(scale)), 0.0
     alpha = np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    norms = np.array([1.0 + float(v @ v) for v in values])  # 1 for the intercept
+    norms = np.array([1.0 + float(scale[r] @ scale[r]) for r in rows])  # 1 for the intercept; values are looked up, not kept
     rnd = np.random.default_rng(seed)
     for _ in range(rounds):
         moved = 0.0
         for i in rnd.permutation(len(rows)):
-            g = y[i] * (float(w[rows[i]] @ values[i]) + b) - 1
+            value = scale[rows[i]]
+            g = y[i] * (float(w[rows[i]] @ value) + b) - 1
             new = min(max(alpha[i] - g / norms[i], 0.0), cost[i])
             d = (new - alpha[i]) * y[i]
             if d:
-                w[rows[i]] += d * values[i]
+                w[rows[i]] += d * value
                 b += d
                 alpha[i] = new
                 moved = max(moved, abs(d) * norms[i] ** 0.5)
@@ -194,10 +194,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     order = np.lexsort((sizes, got["doc_id"].to_numpy()))
     order = order[np.random.default_rng(7).permutation(len(order))]
     y = np.asarray(got["y"])[order].astype(np.int64)
-    grams = got["grams"].combine_chunks()
-    del got
-    at, flat = np.asarray(grams.offsets), np.asarray(grams.values)
-    rows = [flat[at[i] : at[i + 1]] for i in order.tolist()]  # views, no copies
+    views = [flat[s:e] for flat, at in ((np.asarray(c.values), c.offsets.to_pylist()) for c in got["grams"].chunks) for s, e in zip(at, at[1:])]
+    rows = [views[i] for i in order.tolist()]  # no copies
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").alias("q")).filter("doc_id IS NOT NULL AND q IN (0, 1)")
     prior = known.filter(~held_out("doc_id", FOLDS, FOLD)).agg(F.avg("q")).first()[0]
     return train(rows, y, float(prior if prior is not None else 0.5))

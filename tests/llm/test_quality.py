@@ -74,3 +74,18 @@ def test_very_long_texts_stay_out_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(quality, "SAMPLE_BYTES", 100)
     quality.fit(docs, labels)
     assert 0 < seen[1] < most
+
+
+def test_fitting_does_not_keep_the_values_of_all_rows():
+    """The rows' places are a view of one buffer; values beside them would take twice as much again at the driver."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    places = rnd.integers(0, quality.WIDTH, (400, 20_000)).astype(np.int32)
+    scale = rnd.normal(size=quality.WIDTH) / 100
+    tracemalloc.start()
+    quality.dual_descent(list(places), rnd.choice([-1.0, 1.0], 400), scale, np.ones(400), rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("PEAK", peak >> 20)
+    assert peak < places.nbytes / 2
