@@ -264,3 +264,71 @@ def test_a_common_line_takes_few_levels(spark, monkeypatch):
     got = ps.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {tuple(sorted((r.doc_id, r.other_doc_id))) for r in got} == {(i, i + 1) for i in range(160, 200, 2)}
     assert made.count("members") <= 3 and len(made) <= 24
+
+
+def test_a_link_to_a_covered_passage_is_found_in_a_key_of_many(spark, monkeypatch):
+    """Of four passages each and the next are near-duplicates, no others. All keys of more than two classes go by heads: the first
+    one's link to the second covers that, which is still to be linked to the third, and the third to the fourth."""
+    monkeypatch.setattr(ps, "FEW", 2)
+    monkeypatch.setattr(ps, "MOST", 2)
+    rnd = random.Random(41)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    some = lambda k: [word() for _ in range(k)]
+    rows, want = [], set()
+    for i in range(0, 600, 4):
+        four = [some(64)]
+        for at in (12, 26, 40):
+            four.append(edited(four[-1], at + rnd.randrange(6), "change", word()))
+        sets = [set(ps.shingles(" ".join(t).encode()).tolist()) for t in four]
+        near = {(j, k) for j in range(4) for k in range(j) if len(sets[j] & sets[k]) / len(sets[j] | sets[k]) >= 0.8}
+        assert near == {(1, 0), (2, 1), (3, 2)}
+        ids = [0, 2, 3, 1]  # the head is the first; then come what it is not linked to, and the others
+        rows += [(i + k, " ".join([*some(20), *t, *some(20)])) for k, t in zip(ids, four)]
+        want |= {(i, i + 2), (i + 2, i + 3), (i + 1, i + 3)}
+    got = {tuple(sorted((r.doc_id, r.other_doc_id))) for r in ps.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(want & got) >= 0.97 * len(want)
+
+
+def test_verified_passages_connect_the_classes_they_cover(spark):
+    """A document with two places under a key connects those linked to the one with each other, but not with those of the other."""
+    many = [(7, 1, 10, 20), (7, 1, 200, 210), (7, 2, 10, 20), (7, 3, 30, 40), (7, 4, 50, 60), (7, 5, 5, 15), (8, 2, 10, 20), (8, 3, 70, 80), (9, 4, 50, 60)]
+    good = [(2, 0, 60, 1, 0, 60, 1.0), (3, 0, 60, 1, 190, 250, 0.9), (4, 40, 99, 3, 20, 79, 0.8), (5, 6, 66, 1, 6, 66, 1.0), (4, 40, 99, 2, 300, 359, 0.8)]
+    table = spark.createDataFrame(many, "key long, doc long, l int, r int").selectExpr("*", f"{ps.OWN} AS part")
+    links = spark.createDataFrame(good, ps.PASSAGES)
+    parts = lambda df: sorted(sorted((r.doc, r.l) for r in g) for g in grouped(df.collect()))
+
+    def grouped(rows):
+        out = defaultdict(list)
+        for r in rows:
+            out[r.part].append(r)
+        return out.values()
+
+    first = ps._joined(table, links, 0)
+    alone = [[(2, 10)], [(3, 70)], [(4, 50)], [(5, 5)]]
+    assert parts(first) == sorted([[(1, 10), (2, 10)], [(1, 200), (3, 30), (4, 50)], *alone])
+    # of a later level: what was connected before stays so, and one more link connects both
+    more = spark.createDataFrame([(4, 40, 99, 2, 0, 60, 0.8)], ps.PASSAGES)
+    assert parts(ps._joined(first, more, 1)) == sorted([[(1, 10), (1, 200), (2, 10), (3, 30), (4, 50)], *alone])
+
+
+def test_roots_of_long_chains_over_many_batches():
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(43)
+    key, a, b, want = [], [], [], {}
+    for k in range(40):
+        n = int(rnd.integers(2, 300))
+        nodes = rnd.permutation(1000)[:n] + 1000 * k
+        cuts = set(rnd.integers(1, n, 3).tolist())
+        runs = np.split(nodes, sorted(cuts))
+        for run in runs:
+            if len(run) > 1:
+                want.update(dict.fromkeys(run.tolist(), int(run.min())))
+                key += [k - 20] * (len(run) - 1)
+                a += run[:-1].tolist()
+                b += run[1:].tolist()
+    cols = [np.array(c, np.int64) for c in (key, a, b)]
+    for size in (1, 7, 1000, len(key)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=["key", "a", "b"]) for i in range(0, len(key), size)]
+        got = [(x, y) for r in ps._roots(iter(batches)) for x, y in zip(r.column(0).to_pylist(), r.column(1).to_pylist())]
+        assert dict(got) == want and len(got) == len(want)
